@@ -1,7 +1,7 @@
 """Merkle trees over the pieces, paragraphs and sections of texts.
 
 Paragraphs are lines. A paragraph is cut after words whose hash says so (every sixth or so), so pieces depend on their
-own words alone; sections are runs of paragraphs that end at a paragraph whose hash says so. A node's hash covers its
+own words alone (in texts of under 160 characters each word is a piece); sections are runs of paragraphs that end at a paragraph whose hash says so. A node's hash covers its
 children's hashes, the root's the whole text: roots are equal for equal texts and only for those. The fingerprint is a
 string: root, then for each section its hash and its paragraphs', each with its pieces' hashes and sizes. Likeness is
 the share of characters in pieces that both trees hold (2 common / sum, multiplicities counted), 1 for equal roots.
@@ -27,6 +27,8 @@ from .common import bucket_bounds, bucket_of, partitions, ready
 
 #: A piece ends after a word whose hash is 0 modulo this; a section after such a paragraph.
 PIECE, SECTION = 6, 4
+#: Words of a piece, at least and at most; the characters below which a text is small.
+LEAST, MOST, SMALL = 3, 12, 160
 _WORD = re.compile(rb"\S+\s*|\s+")
 _ENDS: dict[bytes, bool] = {}
 
@@ -44,12 +46,25 @@ def _ends(word: bytes) -> bool:
     return known
 
 
-def pieces(paragraph: bytes) -> list[bytes]:
-    """Content-defined pieces of a paragraph, at least three words each but for the last."""
+def _cut(word: bytes, size: int) -> list[bytes]:
+    """A run without white space, cut anew where it is very long."""
+    return [word[i : i + size] for i in range(0, len(word), size)] if len(word) > 2 * size else [word]
+
+
+def pieces(paragraph: bytes, small: bool = False) -> list[bytes]:
+    """Content-defined pieces of a paragraph of LEAST to MOST words; of a small text each word is a piece."""
+    if small:
+        return [x for w in _WORD.findall(paragraph) for x in _cut(w, 6)]
     out, now = [], []
     for w in _WORD.findall(paragraph):
+        if len(w) > 64:
+            if now:
+                out.append(b"".join(now))
+                now = []
+            out += _cut(w, 32)
+            continue
         now.append(w)
-        if len(now) >= 3 and _ends(w):
+        if len(now) >= LEAST and (len(now) == MOST or _ends(w)):
             out.append(b"".join(now))
             now = []
     if now:
@@ -61,9 +76,10 @@ def tree(text: str) -> tuple[str, Counter[tuple[str, int]]]:
     """The fingerprint root|section:paragraph(piece.size piece.size);paragraph(...)|section:... in hex, and its pieces."""
     data = text.encode()
     bag: Counter[tuple[str, int]] = Counter()
+    small = len(text) < SMALL
     sections, now = [], []
     for line in data.split(b"\n"):
-        own = [(hashlib.blake2b(p, digest_size=5).hexdigest(), len(p)) for p in pieces(line)]
+        own = [(hashlib.blake2b(p, digest_size=5).hexdigest(), len(p)) for p in pieces(line, small)]
         bag.update(own)
         node = _hash(b"P" + "".join(h for h, _ in own).encode())
         now.append((node, own))
