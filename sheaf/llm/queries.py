@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare_with_next
