@@ -36,6 +36,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), ids=False)
+
+
 @query
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare_with_next
@@ -51,6 +58,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair_grammar import new_folder, read_ids, write_ids
+
+    folder = new_folder(spark)
+    write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), folder)
+    return read_ids(spark, folder, ids=False)
+
+
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
