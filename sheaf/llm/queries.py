@@ -67,6 +67,14 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder, ids=False)
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
