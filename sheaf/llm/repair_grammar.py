@@ -34,6 +34,12 @@ BLOCK, ROUNDS, FREQUENT, BITS = 1 << 19, 4, 24, 20
 _MAGIC = b"RPG1"
 
 
+def _copy(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of flat, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
 @dataclass
 class Grammar:
     """Symbols below base are ids; base + k is rule k, whose two symbols stand for lengths[k] ids."""
@@ -42,6 +48,7 @@ class Grammar:
     rules: np.ndarray  # k x 2
     lengths: np.ndarray
     symbols: np.ndarray
+    table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def to_bytes(self) -> bytes:
         head = np.array([self.base, len(self.rules), len(self.symbols)], dtype="<u4")
@@ -60,18 +67,27 @@ class Grammar:
         return table[np.where(symbols >= self.base, symbols.astype("int64") - self.base + 1, 0)]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for; rules stand for symbols of earlier rounds, so a few passes do."""
-        while True:
-            deep = symbols >= self.base
-            if not deep.any():
-                return symbols
-            at = np.cumsum(1 + deep) - 1 - deep
-            out = np.empty(len(symbols) + int(deep.sum()), dtype="<u4")
-            pairs = self.rules[symbols[deep].astype("int64") - self.base]
-            out[at[~deep]] = symbols[~deep]
-            out[at[deep]] = pairs[:, 0]
-            out[at[deep] + 1] = pairs[:, 1]
-            symbols = out
+        """The ids that symbols stand for, copied from one table of all expansions."""
+        if not len(self.rules):
+            return symbols
+        if self.table is None:
+            flat = np.arange(self.base, dtype="<u4")
+            begin, size = np.arange(self.base, dtype="int64"), np.ones(self.base, "int64")
+            done = 0
+            while done < len(self.rules):
+                # rules whose symbols are expanded already: those of one round
+                more = self.rules[done:]
+                ready = int(np.argmax(more.max(axis=1) >= self.base + done)) if (more.max(axis=1) >= self.base + done).any() else len(more)
+                part = more[:ready].ravel().astype("int64")
+                new = _copy(flat, begin[part], size[part])
+                sizes = size[part].reshape(-1, 2).sum(axis=1)
+                begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
+                size = np.concatenate([size, sizes])
+                flat = np.concatenate([flat, new])
+                done += ready
+            self.table = (flat, begin, size)
+        flat, begin, size = self.table
+        return _copy(flat, begin[symbols], size[symbols])
 
     def ids(self, start: int = 0, count: int | None = None) -> np.ndarray:
         """A range of the block's ids; only the symbols that hold it are expanded."""
@@ -94,28 +110,28 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, frequent: int = F
         if len(symbols) < 2:
             break
         pairs = (symbols[:-1].astype("uint64") << np.uint64(32)) | symbols[1:]
-        # a first count by hash keeps all pairs that can be frequent, so that few are sorted
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int64")
-        likely = np.flatnonzero(np.bincount(slot, minlength=1 << BITS)[slot] >= frequent)
-        found, count = np.unique(pairs[likely], return_counts=True)
-        found = found[count >= frequent]
-        if not len(found):
+        # pairs are counted in slots of a hash table; of pairs that share a slot one is looked at in this round
+        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int32")
+        held = np.zeros(1 << BITS, "uint64")
+        held[slot] = pairs
+        same = held[slot] == pairs
+        often = np.bincount(slot[same], minlength=1 << BITS) >= frequent
+        at = np.flatnonzero(same & often[slot])
+        if not len(at):
             break
-        where = np.searchsorted(found, pairs[likely])
-        hit = found[np.minimum(where, len(found) - 1)] == pairs[likely]
-        at, rule = likely[hit], where[hit]
+        rule = slot[at]
         # in a run of pairs that overlap, every second one from the left is replaced
         head = np.r_[True, np.diff(at) > 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[take], rule[take]
         # pairs that are left with a few places get no rule
-        used = np.bincount(rule, minlength=len(found)) >= 4
+        used = np.bincount(rule, minlength=1 << BITS) >= 4
         at, rule = at[used[rule]], rule[used[rule]]
-        new = np.cumsum(used) - 1
-        found = found[used]
         if not len(at):
             break
+        new = np.cumsum(used) - 1
+        found = held[used]
         two = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype("uint32")
         known = np.where(two >= base, two.astype("int64") - base + 1, 0)
         rules.append(two)

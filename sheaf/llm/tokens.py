@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Runs remembered by a worker; beyond this it starts over.
-MEMORY = 700_000
+MEMORY = 1_200_000
 _ODD = re.compile("[\x1c-\x1f\u0130]")
 #: Texts of other letters than Latin ones are not lower-cased beforehand.
 _FOREIGN = re.compile("[\u0250-\U0010ffff]")
