@@ -1,3 +1,4 @@
 """Registry of the engine's queries and their SQL."""
 
+from . import functions, markup, quality, rows, star, work  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
