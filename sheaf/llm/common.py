@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ BATCH_ROWS = 1024
 #: Bytes of text handled by one vectorised step; a longer text is one step of its own.
 STEP_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -55,11 +57,22 @@ def _clean() -> None:
             return
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Write df, and drop its shuffle files when that is done: what was written is read from the folder from now on."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    write(df, path)
     _LEFT.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -79,15 +92,42 @@ def bucket_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """The number of cuts at or below key; null keys come first."""
-    cuts = np.array(bounds, dtype="int64")
+def bucket_of(key: str, bounds: list[int]) -> Column:
+    """The number of cuts at or below a column of integers, as a tree of comparisons; null keys come first."""
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN `{key}` < {bounds[middle]}L THEN {tree(low, middle)} ELSE {tree(middle + 1, high)} END"
+
+    return F.when(F.col(key).isNull(), 0).otherwise(F.expr(tree(0, len(bounds)))).cast("int")
+
+
+_OWNER = ""
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Say whose task this worker runs: what it remembers for other operators' tasks is dropped."""
+    global _OWNER
+    if forget is not None:
+        _FORGET[owner] = forget
+    if _OWNER != owner:
+        for name, drop in _FORGET.items():
+            if name != owner:
+                drop()
+        trim()
+        _OWNER = owner
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(np.iinfo("int64").min).to_numpy("int64"), side="right").astype("int32"))
 
-    return place(key.cast("long"))
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: a reused worker would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 # ---------------------------------------------------------------- Arrow columns as bytes
@@ -135,7 +175,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = max(n, STEP_BYTES)
         for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
             x = np.full(size, base, dtype="uint64")
             x[0] = 1

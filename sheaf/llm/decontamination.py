@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import mix, ready, shingles, steps, utf8, word_hashes
+from .common import claim, ready, shingles, steps, utf8, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BLOCKS = 10
@@ -180,6 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def _search(given: DataFrame, index: Index, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontamination")
         for batch in batches:
             data, ends = utf8(batch.column(1))
             ids = batch.column(0).to_pylist()

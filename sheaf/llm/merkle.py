@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import bucket_bounds, bucket_of, partitions, ready
+from .common import bucket_bounds, bucket_of, claim, partitions, ready
 
 #: A piece ends after a word whose hash is 0 modulo this; a section after such a paragraph.
 PIECE, SECTION = 6, 4
@@ -163,16 +163,17 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     n = partitions(spark)
     bounds = bucket_bounds(docs, key, n)
     given = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    keys = given.select("k").withColumn("b", bucket_of(F.col("k"), bounds)).groupBy("b").agg(F.min(F.struct(F.coalesce("k", F.lit(-(1 << 63))).alias("k"))).alias("f")).orderBy("b").collect()
+    keys = given.select("k").withColumn("b", bucket_of("k", bounds)).groupBy("b").agg(F.min(F.struct(F.coalesce("k", F.lit(-(1 << 63))).alias("k"))).alias("f")).orderBy("b").collect()
     lead = {}  # the first key of each bucket and the bucket before it (a row per bucket)
     for i, row in enumerate(keys):
         lead[row["f"]["k"]] = keys[i - 1]["b"]
     firsts = F.create_map(*(F.lit(x) for pair in lead.items() for x in pair)) if lead else F.create_map().cast("map<bigint,int>")
-    placed = given.withColumn("b", bucket_of(F.col("k"), bounds)).withColumn("before", firsts[F.coalesce("k", F.lit(-(1 << 63)))])
+    placed = given.withColumn("b", bucket_of("k", bounds)).withColumn("before", firsts[F.coalesce("k", F.lit(-(1 << 63)))])
     both = placed.select("k", "t", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("ahead")))).otherwise(F.array(F.struct("b", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("b"), F.lit(True).alias("ahead"))))).alias("to"))
     dealt = both.select("k", "t", "to.b", "to.ahead").repartitionById(max(n, len(bounds) + 1), F.col("b")).sortWithinPartitions("b", "ahead", F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("merkle", _ENDS.clear)
         last = None  # bucket, key, text and tree of the row that waits for its next
         for batch in batches:
             out = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, ready, release, shingles, staged, steps, utf8, word_hashes
+from .common import claim, mix, partitions, ready, release, shingles, staged, steps, utf8, word_hashes
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -60,6 +60,7 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in batches:
             data, ends = utf8(batch.column(1))
             sizes, whole, bands, bits = [], [], [], []
@@ -145,6 +146,7 @@ def _blocks(members: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(members.select("id"), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in batches:
             data, ends = utf8(batch.column(1))
             sets = []
@@ -159,6 +161,7 @@ def _blocks(members: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
     rows = pairs.join(sets, "id").select("comp", "i", "j", "id", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         now, ids, own = None, [], []
 
         def links() -> pa.RecordBatch:

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LEFT, bucket_bounds, bucket_of, partitions, ready, shared_dir
+from .common import _LEFT, bucket_bounds, bucket_of, partitions, ready, shared_dir, write
 from .tokens import encoder
 
 END = 1
 #: Ids of a block, rounds of replacement, occurrences that make a pair frequent, and bits of the pairs' first count.
-BLOCK, ROUNDS, FREQUENT, BITS = 1 << 19, 4, 24, 20
+BLOCK, ROUNDS, FREQUENT, BITS = 1 << 19, 4, 32, 18
 _MAGIC = b"RPG1"
 
 
@@ -51,16 +51,18 @@ class Grammar:
     table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.base, len(self.rules), len(self.symbols)], dtype="<u4")
-        return _MAGIC + b"".join(x.astype("<u4").tobytes() for x in (head, self.rules, self.lengths, self.symbols))
+        wide = 2 if self.symbols.dtype == np.uint16 else 4
+        head = np.array([self.base, len(self.rules), len(self.symbols), wide], dtype="<u4")
+        return _MAGIC + b"".join(x.astype("<u4").tobytes() for x in (head, self.rules, self.lengths)) + self.symbols.astype(f"<u{wide}").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Grammar:
         if data[:4] != _MAGIC:
             raise ValueError("not a grammar block")
-        x = np.frombuffer(data, dtype="<u4", offset=4)
-        base, k, n = (int(v) for v in x[:3])
-        return cls(base, x[3 : 3 + 2 * k].reshape(k, 2), x[3 + 2 * k : 3 + 3 * k], x[3 + 3 * k : 3 + 3 * k + n])
+        base, k, n, wide = (int(v) for v in np.frombuffer(data, dtype="<u4", offset=4, count=4))
+        rules = np.frombuffer(data, dtype="<u4", offset=20, count=2 * k).reshape(k, 2)
+        lengths = np.frombuffer(data, dtype="<u4", offset=20 + 8 * k, count=k)
+        return cls(base, rules, lengths, np.frombuffer(data, dtype=f"<u{wide}", offset=20 + 12 * k, count=n))
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         table = np.concatenate([[1], self.lengths]).astype("int64")
@@ -69,7 +71,7 @@ class Grammar:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for, copied from one table of all expansions."""
         if not len(self.rules):
-            return symbols
+            return symbols.astype("<u4")
         if self.table is None:
             flat = np.arange(self.base, dtype="<u4")
             begin, size = np.arange(self.base, dtype="int64"), np.ones(self.base, "int64")
@@ -103,19 +105,27 @@ class Grammar:
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Grammar:
     """The grammar of a block of ids, all of them below base."""
-    symbols = ids.astype("uint32")
+    # symbols take 16 bits where the vocabulary leaves room for rules, which are then the most frequent pairs
+    room = (1 << 16) - base
+    half = 16 if room >= 4096 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    symbols = ids.astype("uint16" if half == 16 else "uint32")
     rules, lengths = [np.zeros((0, 2), "uint32")], [np.zeros(0, "uint32")]
     size_of, made = np.ones(1, "uint32"), 0
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1].astype("uint64") << np.uint64(32)) | symbols[1:]
+        pairs = symbols[:-1].astype(kind) << kind(half) | symbols[1:].astype(kind)
         # pairs are counted in slots of a hash table; of pairs that share a slot one is looked at in this round
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype("int32")
-        held = np.zeros(1 << BITS, "uint64")
+        slot = ((pairs * kind(0x9E3779B97F4A7C15 >> (64 - 2 * half))) >> kind(2 * half - BITS)).astype("int32")
+        held = np.zeros(1 << BITS, kind)
         held[slot] = pairs
         same = held[slot] == pairs
-        often = np.bincount(slot[same], minlength=1 << BITS) >= frequent
+        count = np.bincount(slot[same], minlength=1 << BITS)
+        often = count >= frequent
+        if half == 16 and often.sum() > room - made:
+            often[:] = False
+            often[np.argsort(-count, kind="stable")[: room - made]] = True
         at = np.flatnonzero(same & often[slot])
         if not len(at):
             break
@@ -132,7 +142,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, frequent: int = F
             break
         new = np.cumsum(used) - 1
         found = held[used]
-        two = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype("uint32")
+        two = np.stack([found >> kind(half), found & kind((1 << half) - 1)], axis=1).astype("uint32")
         known = np.where(two >= base, two.astype("int64") - base + 1, 0)
         rules.append(two)
         lengths.append(size_of[known].sum(axis=1).astype("uint32"))
@@ -151,7 +161,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text
     ready(spark)
     n = partitions(spark)
     bounds = bucket_bounds(docs, key, n)
-    given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("b", bucket_of(F.col("k"), bounds))
+    given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("b", bucket_of("k", bounds))
     dealt = given.repartitionById(max(n, len(bounds) + 1), F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +197,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text
         if parts:
             yield flush()
 
-    dealt.mapInArrow(run, "shard int, block int, start long, n_ids long, doc_ids array<long>, doc_lengths binary, grammar binary").write.option("compression", "zstd").parquet(folder)
+    write(dealt.mapInArrow(run, "shard int, block int, start long, n_ids long, doc_ids array<long>, doc_lengths binary, grammar binary"), folder)
 
 
 def shard_starts(blocks: DataFrame) -> dict[int, int]:

@@ -25,18 +25,19 @@ sources for one another. Empty tables give no rows. Other columns stay; result c
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import _powers, bucket_bounds, bucket_of, mix, partitions, ready, staged, steps, utf8
+from .common import _powers, bucket_bounds, bucket_of, claim, mix, partitions, ready, staged, steps, trim, utf8
 
 LENGTH, GRAM = 50, 20
+#: Shards for each shuffle partition.
+SHARDS = 4
 #: One text in so many gives leading tokens for the splitters.
 SAMPLE = 64
 _LAST = (1 << 63) - 1
@@ -193,7 +194,7 @@ class _Shard:
             if self.rank < 0 or k != self.key:
                 self.rank, self.key = self.rank + 1, k
             ranks[i] = self.rank
-        for a, b in steps(ends):
+        for a, b in steps(ends, 1 << 18):
             row, begin, count, token, content = runs(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], self.length)
             self.parts.append((ranks[a + row], begin + ends[a] - ends[0] + self.size, count, token & _MASK, content & _MASK))
         self.blobs.append(data[ends[0] : ends[-1]])
@@ -250,25 +251,21 @@ def _splitters(given: DataFrame, n: int, length: int) -> np.ndarray:
     return np.unique(values[np.linspace(0, len(values) - 1, n + 1).astype(int)[1:-1]]) if len(values) > n else values
 
 
-def _settled(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Add n_bytes, spans (removed bytes, begin and end) and kept (the other bytes) to every document."""
     if length < GRAM:
         raise ValueError(f"strings have {GRAM} bytes at least")
     spark = docs.sparkSession
     ready(spark)
-    n = partitions(spark)
+    # a shard's texts and runs are held in memory, some thirty bytes for one of text
+    n = SHARDS * partitions(spark)
     bounds = bucket_bounds(docs, key, n)
     made = ["n_bytes", "spans", "kept"]
-    rest = [c for c in docs.columns if c not in made]
+    kept_columns = [c for c in docs.columns if c not in made]
+    rest = [c for c in kept_columns if c != text]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
-    given = docs.select(ident.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.struct(*rest).alias("r")).withColumn("shard", bucket_of(F.col("k"), bounds))
-    splitters = _splitters(given, n, length)
+    given = docs.select(ident.alias("k"), F.col(text).cast("string").alias("t"), F.struct(*rest, F.lit(None).cast("boolean").alias("_")).alias("r")).withColumn("shard", bucket_of("k", bounds))
+    splitters = _splitters(given, partitions(spark), length)
     buckets = len(splitters) + 1
 
     def shards(notes: DataFrame | None, columns: list[str]) -> DataFrame:
@@ -279,6 +276,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return rows.repartitionById(max(n, len(bounds) + 1), F.col("shard")).sortWithinPartitions("kind", "k", "t")
 
     def load(batches: Iterator[pa.RecordBatch]) -> tuple[_Shard, int]:
+        claim("suffix_dedup")
         shard, number = _Shard(length), -1
         for batch in batches:
             if not batch.num_rows:
@@ -291,6 +289,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             if split < batch.num_rows:
                 shard.add(batch.slice(split), 2, 3)
         shard.settle()
+        trim()
         return shard, number
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +322,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     sent = shards(None, ["t"]).mapInArrow(send, "bucket int, shard int, tokens binary, contents binary")
     notes, _ = staged(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(compare, "shard int, covered_t binary, covered_c binary, ask_t binary, ask_c binary"), "covered")
-    del sent
-    _settled(spark)
 
     def send_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = load(batches)
@@ -354,9 +351,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     asking = shards(notes.select("shard", "ask_t", "ask_c"), ["t"]).select("shard", "kind", "k", "t", "ask_t", "ask_c")
     parts, _ = staged(asking.mapInArrow(send_bytes, "bucket int, shard int, tokens binary, contents binary, counts binary, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(compare_bytes, "shard int, part_t binary, part_c binary, part_bits binary"), "parts")
-    del asking
-    _settled(spark)
-    schema = StructType([*docs.select(*rest).schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))), StructField("kept", BinaryType())])
+    schema = StructType([*docs.select(*kept_columns).withColumn(text, F.col(text).cast("string")).schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))), StructField("kept", BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, _ = load(batches)
@@ -393,8 +388,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         if len(several):
             one = shard.first[several]
             mark(several, covered_suffixes(shard.blob, shard.begin[one], shard.count[one], first_rank[several], token[several], length))
-        starts = single | (np.cumsum(strings)[:-1] > 0)
-        before = np.concatenate([np.zeros(length, "int64"), np.cumsum(starts)])
+        single |= np.cumsum(strings, dtype="int32")[:-1] > 0
+        del strings
+        before = np.zeros(length + len(single), "int32")
+        np.cumsum(single, out=before[length:])
         gone = before[length:] > before[:-length]
         base = 0
         for batch in shard.batches:
@@ -408,9 +405,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 spans.append([{"begin": x, "end": y} for x, y in edge.tolist()])
                 kept.append(shard.blob[a:b][~g].tobytes() if len(edge) else shard.blob[a:b].tobytes())
             own = batch.column(4)
-            columns = [own.field(i) for i in range(len(rest))] if own.null_count == 0 else own.flatten()
-            made_ = [pa.array(np.diff(ends)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+            columns = [batch.column(3) if c == text else own.field(rest.index(c)) for c in kept_columns]
+            made_ = [pa.array(np.diff(np.array(ends))), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *made_], names=schema.names)
+        del shard
+        trim()
 
     told = notes.select("shard", "covered_t", "covered_c").unionByName(parts, allowMissingColumns=True)
     rows = shards(told, ["t", "r"]).select("shard", "kind", "k", "t", "r", "covered_t", "covered_c", "part_t", "part_c", "part_bits")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import ready
+from .common import claim, ready
 
 #: The special string that the vocabulary file declares; by default it is one token wherever it stands.
 SPECIAL = "<|endoftext|>"
@@ -220,6 +220,7 @@ _OPEN: dict[str, PrefixCounter] = {}
 
 def counter(path: str) -> PrefixCounter:
     """This process's counter for a vocabulary file."""
+    claim("token_counts", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = PrefixCounter(path)
     return _OPEN[path]

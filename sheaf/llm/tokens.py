@@ -1,21 +1,26 @@
 """Token ids of whole texts by the tokenizers library, with the ids of runs between white space remembered.
 
 The vocabulary's normaliser and pre-tokenizer never join anything across white space, so the ids of a text are those of
-its runs one after another. New runs are encoded by the library, many at a time; a run of letters with a full stop or
-comma after it is its letters and the mark. Texts with control characters that Python counts as white space, but the
+its runs one after another. New runs are encoded by the library, many at a time; a run of letters with ASCII marks after it is
+its letters and its marks. Letters alone are one pre-token, so many of them are encoded as one text and cut after each
+token that ends a word. Texts with control characters that Python counts as white space, but the
 vocabulary does not, or with İ, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
+from .common import claim
+
 #: Runs remembered by a worker; beyond this it starts over.
-MEMORY = 1_200_000
+MEMORY = 800_000
 _ODD = re.compile("[\x1c-\x1f\u0130]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Texts of other letters than Latin ones are not lower-cased beforehand.
 _FOREIGN = re.compile("[\u0250-\U0010ffff]")
 
@@ -30,11 +35,22 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.lower = self._lowers()
+        self.ends = self._word_ends()
 
     def _lowers(self) -> bool:
         one = lambda t: self.library.encode(t, add_special_tokens=False).ids
         return one("Word WORD ÄÉ") == one("word word äé")
 
+    def _word_ends(self) -> np.ndarray | None:
+        """By id, whether a token ends a word; None if the vocabulary does not say so."""
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return ends
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -49,6 +65,20 @@ class Encoder:
         raw = ids.tobytes()
         self.known.update(zip(runs, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
+    def _learn_letters(self, words: list[str]) -> None:
+        if self.ends is not None:
+            for a in range(0, len(words), 20_000):
+                part = words[a : a + 20_000]
+                ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(part) or cuts[-1] != len(ids):
+                    self._learn(part)
+                    continue
+                raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+                self.known.update(zip(part, (raw[x:y] for x, y in zip(at, at[1:]))))
+        elif words:
+            self._learn(words)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in bytes."""
         known = self.known
@@ -58,12 +88,22 @@ class Encoder:
             if len(known) + len(new) > MEMORY:
                 known.clear()
                 new = set().union(*(x for x in split if x))
-            marked = [r for r in new if len(r) > 1 and r[-1] in ",." and r[:-1].isalpha()]
-            plain = new.difference(marked)
-            plain.update(r[:-1] for r in marked if r[:-1] not in known)
-            plain.update(m for m in ",." if m not in known)
-            self._learn(sorted(plain))
-            known.update((r, known[r[:-1]] + known[r[-1]]) for r in marked)
+            letters, other, marked = set(), set(), []
+            for r in new:
+                word = r.rstrip(_MARKS)
+                if not word.isalpha():
+                    other.add(r)
+                elif len(word) == len(r):
+                    letters.add(r)
+                else:
+                    marked.append((r, word, r[len(word) :]))
+                    letters.add(word)
+                    other.add(r[len(word) :])
+            # difference() looks these up in known; difference_update() would go through all of known
+            self._learn_letters(sorted(letters.difference(known)))
+            if other := other.difference(known):
+                self._learn(sorted(other))
+            known.update((r, known[word] + known[mark]) for r, word, mark in marked)
         return [self.whole(t) if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(texts, split)]
 
     def _runs(self, text: str) -> list[str]:
@@ -77,6 +117,7 @@ _OPEN: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
+    claim("tokens", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
     return _OPEN[path]

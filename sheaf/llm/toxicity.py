@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _LOWER, mix, ready, steps, utf8, _powers
+from .common import _LOWER, claim, mix, ready, steps, utf8, _powers
 
 #: Labelled rows that the classifier is fitted on, at most.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 BUCKETS, WIDTH, FILTERS, PARTS = 1 << 18, 8, 4, 8
 SPANS = (1, 2, 3)
 #: First bytes of a word that are hashed besides the whole word.
@@ -124,11 +124,11 @@ def pool(act: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate([np.maximum.reduceat(most, starts, axis=0), np.add.reduceat(most, starts, axis=0) / count], axis=1), most, heads, starts
 
 
-def _log_odds(ids: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _log_odds(parts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Cautious evidence for the toxic class by bucket: the log-odds less its error, 0 at least."""
     seen = np.zeros((2, BUCKETS), "float32")
-    for i, y in enumerate(toxic):
-        seen[int(y), np.unique(ids[at[i] : at[i + 1]])] += 1
+    for ids, y in zip(parts, toxic):
+        seen[int(y), np.unique(ids)] += 1
     n, t = seen
     share = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((n + 0.5) / ((~toxic).sum() + 1))
     return np.clip(share - 2 / np.sqrt(t + 0.5), 0, 3).astype("float32")
@@ -137,15 +137,13 @@ def _log_odds(ids: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray, langs: list[str], check: np.ndarray, seed: int = 7) -> Net:
     """Train on the rows outside check, calibrate thresholds on those in check."""
     rng = np.random.default_rng(seed)
-    data = [t.encode() for t in texts]
-    parts = [features(np.frombuffer(b, "uint8"), np.array([0, len(b)]))[0] for b in data]
+    parts = [features(np.frombuffer(b, "uint8"), np.array([0, len(b)]))[0] for b in (t.encode() for t in texts)]
     own = np.flatnonzero(~check)
     toxic = toxic.astype(bool)
     if not toxic[own].any() or toxic[own].all():
         return Net(np.zeros((1, WIDTH), "float32"), [], np.zeros(0), np.zeros(0), 0.0, empty=True, common=2.0)
-    at = np.concatenate([[0], np.cumsum([len(parts[i]) for i in own])])
     words = rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype("float32")
-    words[:, 0] = _log_odds(np.concatenate([parts[i] for i in own]), at, toxic[own])
+    words[:, 0] = _log_odds([parts[i] for i in own], toxic[own])
     filters = [rng.normal(0, 0.05, (s, WIDTH, FILTERS)).astype("float32") for s in SPANS]
     for w in filters:
         w[:, 0, :2] += 0.3 / len(w)
@@ -250,6 +248,7 @@ def toxicity(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
     place = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for batch in batches:
             data, ends = utf8(batch.column(place))
             scores = np.zeros(batch.num_rows)
