@@ -29,7 +29,7 @@ from .common import claim, ready
 #: The special string that the vocabulary file declares; by default it is one token wherever it stands.
 SPECIAL = "<|endoftext|>"
 #: Units remembered by a worker; beyond this it starts over.
-MEMORY = 400_000
+MEMORY = 700_000
 _UNIT = r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*\p{L}+|\s*\p{N}+|\s*[^\s\p{L}\p{N}]+|\s+"
 #: Contractions whose proper prefixes are two pre-tokens.
 _LONG = ("'re", "'ve", "'ll")
@@ -63,7 +63,8 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.ids))
         self.side: dict[tuple[bytes, bytes], bool] = {}
-        self.units: dict[str, tuple[int, bytes]] = {}
+        self.units: dict[str, bytes | None] = {}
+        self.before: tuple[bytes, list[bytes], list[int]] = (b"", [b""], [0])
         self.find = regex.compile(_UNIT).findall
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -94,9 +95,13 @@ class PrefixCounter:
     def run(self, data: bytes) -> list[int]:
         """Token counts of all prefixes of one pre-token, by bytes; counts[0] is 0."""
         ids, side, longest = self.ids, self.side, self.longest
-        last: list[bytes] = [b""]
-        counts = [0]
-        for end in range(1, len(data) + 1):
+        # prefixes that the run before has too are not looked at again
+        before, last, counts = self.before
+        same, most = 0, min(len(data), len(before))
+        while same < most and data[same] == before[same]:
+            same += 1
+        last, counts = last[: same + 1], counts[: same + 1]
+        for end in range(same + 1, len(data) + 1):
             for start in range(end - longest if end > longest else 0, end):
                 token = data[start:end]
                 if token in ids:
@@ -109,6 +114,7 @@ class PrefixCounter:
                         break
             else:
                 raise ValueError("the vocabulary does not hold every byte")
+        self.before = (data, last, counts)
         return counts
 
     def pretoken(self, text: str) -> list[int]:
@@ -148,25 +154,31 @@ class PrefixCounter:
         apart = self.pretoken(text[0])[-1]
         return [apart, *(apart + c for c in self.pretoken(text[1:])[:-1]), self.pretoken(text)[-1]]
 
-    def remember(self, text: str) -> tuple[int, bytes]:
-        counts = self.unit(text)
-        change = [y - x for x, y in zip([0, *counts], counts)]
-        if len(self.units) >= MEMORY:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the tables of all units of texts; neighbours in order share prefixes."""
+        new = set().union(*texts).difference(self.units)
+        if len(self.units) + len(new) > MEMORY:
             self.units.clear()
-        # a unit with a wide change has no table of its own: its text takes the other way
-        wide = max(change) > 127 or min(change) < -127
-        found = self.units[text] = (counts[-1], b"" if wide else bytes([c & 255 for c in change]))
-        return found
+            new = set().union(*texts)
+        for u in sorted(new):
+            counts = self.unit(u)
+            change = [y - x for x, y in zip([0, *counts], counts)]
+            # a unit with a wide change has no table of its own: its text takes the other way
+            wide = max(change) > 127 or min(change) < -127
+            self.units[u] = None if wide else bytes([c & 255 for c in change])
+
+    def _changes(self, units: list[str]) -> bytes | None:
+        try:
+            return b"".join(map(self.units.__getitem__, units))
+        except TypeError:
+            return None
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text without the special string."""
-        known, parts = self.units, []
-        for u in self.find(text):
-            got = known.get(u) or self.remember(u)
-            if not got[1]:
-                return self._slow(text)
-            parts.append(got[1])
-        return np.cumsum(np.frombuffer(b"".join(parts), dtype="int8"), dtype="int64")
+        units = self.find(text)
+        self.learn([units])
+        found = self._changes(units)
+        return self._slow(text) if found is None else np.cumsum(np.frombuffer(found, dtype="int8"), dtype="int64")
 
     def _slow(self, text: str) -> np.ndarray:
         out, base = [], 0
@@ -197,21 +209,23 @@ class PrefixCounter:
 
     def table(self, text: str) -> tuple[int, bytes]:
         """The token count of the whole text and its table: a byte for the width, then the changes by code point."""
-        if SPECIAL not in text:
-            known, parts, total = self.units, [], 0
-            for u in self.find(text):
-                got = known.get(u) or self.remember(u)
-                if not got[1]:
-                    break
-                total += got[0]
-                parts.append(got[1])
-            else:
-                return total, b"\x01" + b"".join(parts)
-        counts = self.counts(text)
-        change = np.diff(counts, prepend=0)
-        if not len(change) or (change.min() >= -127 and change.max() <= 127):
-            return int(counts[-1]) if len(counts) else 0, b"\x01" + change.astype("int8").tobytes()
-        return int(counts[-1]), b"\x04" + change.astype("<i4").tobytes()
+        return self.tables([text])[0]
+
+    def tables(self, texts: list[str]) -> list[tuple[int, bytes]]:
+        """As table, of many texts."""
+        split = [None if SPECIAL in t else self.find(t) for t in texts]
+        self.learn([x for x in split if x])
+        out = []
+        for t, units in zip(texts, split):
+            found = None if units is None else self._changes(units)
+            if found is not None:
+                out.append((int(np.frombuffer(found, dtype="int8").sum(dtype="int64")), b"\x01" + found))
+                continue
+            counts = self.counts(t) if units is None else self._slow(t)
+            change = np.diff(counts, prepend=0)
+            narrow = change.min() >= -127 and change.max() <= 127
+            out.append((int(counts[-1]), b"\x01" + change.astype("int8").tobytes() if narrow else b"\x04" + change.astype("<i4").tobytes()))
+        return out
 
 
 _SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -252,16 +266,11 @@ def token_tables(docs: DataFrame, path: str, text: str = "text", tables: bool =
     schema = StructType([*(f for f in given.schema.fields if f.name != text or tables), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())] + [StructField("prefix_table", BinaryType())] * tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).table
+        count = counter(path).tables
         for batch in batches:
-            texts = batch.column(len(rest)).to_pylist()
-            sizes, totals, blobs = [], [], []
-            for t in texts:
-                total, blob = count(t or "")
-                sizes.append(len((t or "").encode()))
-                totals.append(total)
-                if tables:
-                    blobs.append(blob)
+            texts = [t or "" for t in batch.column(len(rest)).to_pylist()]
+            found = count(texts)
+            sizes, totals, blobs = [len(t.encode()) for t in texts], [n for n, _ in found], [b for _, b in found]
             kept = [batch.column(i) for i in range(len(rest) + tables)]
             made = [pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())] + [pa.array(blobs, pa.binary())] * tables
             yield pa.RecordBatch.from_arrays(kept + made, names=[f.name for f in schema.fields])
