@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, staged
+from .common import claim, ready, staged, trim
 from .tokens import encoder
 
 SIZE, END = 2048, 1
+#: Runs of text remembered by a worker.
+MEMORY = 400_000
 
 
 class CapacityTree:
@@ -124,7 +126,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
-        last, encode = np.array([end], dtype="<u4").tobytes(), encoder(path).encode
+        last, encode = np.array([end], dtype="<u4").tobytes(), encoder(path, MEMORY).encode
         for batch in batches:
             rows: list[tuple] = []
             for k, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -137,6 +139,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     seen[n] += 1
             kinds = [pa.int64()] * 7 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth", "ids"])
+        trim()
 
     made = given.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, nth long, ids binary")
     return made if ids else made.drop("ids")
@@ -154,6 +157,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        claim("packing")
         window, offset = placement.find(length.to_numpy("int64"), rank.to_numpy("int64"))
         return pd.DataFrame({"sequence_id": window, "offset": offset})
 

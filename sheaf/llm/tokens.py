@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import claim
 
-#: Runs remembered by a worker; beyond this it starts over.
+#: Runs remembered by a worker, some 200 bytes each; beyond this it starts over.
 MEMORY = 800_000
 _ODD = re.compile("[\x1c-\x1f\u0130]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -28,7 +28,8 @@ _FOREIGN = re.compile("[\u0250-\U0010ffff]")
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
+        self.memory = memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -85,7 +86,7 @@ class Encoder:
         split = [None if _ODD.search(t) else self._runs(t) for t in texts]
         new = set().union(*(x for x in split if x)).difference(known)
         if new:
-            if len(known) + len(new) > MEMORY:
+            if len(known) + len(new) > self.memory:
                 known.clear()
                 new = set().union(*(x for x in split if x))
             letters, other, marked = set(), set(), []
@@ -115,9 +116,10 @@ class Encoder:
 _OPEN: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """This process's encoder for a vocabulary file."""
     claim("tokens", _OPEN.clear)
     if path not in _OPEN:
         _OPEN[path] = Encoder(path)
+    _OPEN[path].memory = memory
     return _OPEN[path]
