@@ -82,7 +82,7 @@ WITH q AS (SELECT c_custkey AS query, c_mktsegment AS seg, c_nationkey AS nat, C
 l AS (SELECT s_suppkey AS origin, s_nationkey AS nat, CAST(floor(abs(s_acctbal)) AS BIGINT) % 4 AS b, s_suppkey % 5 AS v FROM supplier),
 m AS (SELECT query, origin, (CASE WHEN q.nat = l.nat THEN 4.0 ELSE 0 END) + (CASE WHEN q.b = l.b THEN 3.0 ELSE 0 END) + (CASE WHEN q.nat = l.nat THEN 2.5 ELSE 0 END) + 1.0 AS overlap, v FROM q, l),
 s AS (SELECT query, origin, overlap, ROUND(overlap * CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.8 ELSE 0.6 END, 2) AS score FROM m)
-SELECT query, origin, overlap, score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, origin) AS rank FROM s WHERE score >= 7) WHERE rank <= 2""")
+SELECT query, origin, CAST(overlap AS DOUBLE) AS overlap, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, origin) AS rank FROM s WHERE score >= 7) WHERE rank <= 2""")
 def similar_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library's best matches by shared features: nation, balance class, photo host and one weak value."""
 
