@@ -88,7 +88,7 @@ def photo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     srcset = F.concat(at(400), F.lit(" 400w, "), at(1600), F.lit(" 1600w, "), at(800), F.lit(" 800w"))
     asset = F.concat(F.lit("https://cdn.example.com/Photos/"), k, F.lit("/front-640x480.jpg?w=640&q=80"))
     image = F.concat(F.lit("https://cdn.example.com/"), F.when(F.col("p_size") % 2 == 1, "car").otherwise("placeholder"), F.lit("/"), k, F.lit(".jpg"))
-    full = P.full_size(F.concat(F.lit("https://images.edealer.ca/320/"), k, F.lit(".jpg")))
+    full = P.full_size(F.concat(F.lit("https://images.edealer.ca/21/"), k, F.lit(".jpg")))
     return table(spark, sf_dir, "part").select(
         "p_partkey", P.srcset_first(srcset).alias("first_url"), P.srcset_largest(srcset).alias("largest_url"), P.asset_key(asset).alias("asset"), P.accepted_image(image).alias("accepted"),
         full["url"].alias("full_url"), full["width"].alias("full_width"),
