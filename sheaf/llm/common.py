@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: whole texts are some kilobytes each, so a batch stays at a few megabytes.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 #: Bytes of text handled by one vectorised step; a longer text is one step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LEFT: list[tuple[SparkSession, str]] = []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import claim, ready, shingles, steps, utf8, word_hashes
+from .common import claim, ready, shingles, steps, trim, utf8, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BLOCKS = 10
@@ -197,5 +197,6 @@ def _search(given: DataFrame, index: Index, schema: str) -> DataFrame:
                         out += [(ids[a + row], i, *v) for i, v in best.items()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "similarity", "begin_word", "end_word"])
+        trim()
 
     return given.mapInArrow(run, schema)

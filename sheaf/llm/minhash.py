@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, mix, partitions, ready, release, shingles, staged, steps, utf8, word_hashes
+from .common import claim, mix, partitions, ready, release, shingles, staged, steps, trim, utf8, word_hashes
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -81,6 +81,7 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
                     bits.append(packed[row].view("int64") if len(s) else None)
                     row += bool(len(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "whole", "bands", "bits"])
+        trim()
 
     return given.mapInArrow(run, "id long, n long, whole binary, bands array<long>, bits array<long>")
 
@@ -155,8 +156,9 @@ def _blocks(members: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
                 found, of = shingles(words, at, k)
                 sets += [np.unique(found[x:y]).tobytes() for x, y in zip(of.tolist(), of[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+        trim()
 
-    sets = given.mapInArrow(hashed, "id long, s binary").dropDuplicates(["id"])
+    sets = given.mapInArrow(hashed, "id long, s binary")
     n = partitions(spark)
     rows = pairs.join(sets, "id").select("comp", "i", "j", "id", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id")
 
@@ -174,10 +176,14 @@ def _blocks(members: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
                     if len(own) > 1:
                         yield links()
                     now, ids, own = (comp, i, j), [], []
+                if ids and ids[-1] == id_ and own[-1].tobytes() == s:
+                    continue  # a repeated row
                 ids.append(id_)
                 own.append(np.frombuffer(s, "uint64"))
         if len(own) > 1:
             yield links()
+        ids, own = [], []
+        trim()
 
     return rows.mapInArrow(compare, "a long, b long")
 
@@ -195,7 +201,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     met = rows.join(firsts, "band").where("id <> first").select("id", "first").distinct()
     bits = banded.select("id", "bits")
     likely = met.join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first").where(estimate(F.col("bits"), F.col("other")) >= CHANCE)
-    candidates = components(likely.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    # a member's smallest bucket neighbour stands for all: the others, BANDS at most, are tied to it once for all members
+    least = F.array_min("f")
+    ties = F.array_append(F.transform(F.array_except("f", F.array(least)), lambda x: F.struct(x.alias("a"), least.alias("b"))), F.struct(F.col("id").alias("a"), least.alias("b")))
+    tied = likely.groupBy("id").agg(F.collect_set("first").alias("f")).select(F.explode(ties).alias("t")).select("t.a", "t.b").distinct()
+    candidates = components(tied)
     members = candidates.select(F.col("node").alias("id"), F.col("label").alias("comp"))
     links, links_path = staged(_blocks(members, docs, key, text, k, percent), "links")
     labels = components(links)

@@ -120,23 +120,24 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, frequent: int = F
         slot = ((pairs * kind(0x9E3779B97F4A7C15 >> (64 - 2 * half))) >> kind(2 * half - BITS)).astype("int32")
         held = np.zeros(1 << BITS, kind)
         held[slot] = pairs
-        same = held[slot] == pairs
-        count = np.bincount(slot[same], minlength=1 << BITS)
+        count = np.bincount(slot, minlength=1 << BITS)
         often = count >= frequent
         if half == 16 and often.sum() > room - made:
             often[:] = False
             often[np.argsort(-count, kind="stable")[: room - made]] = True
-        at = np.flatnonzero(same & often[slot])
+        at = np.flatnonzero(often[slot])
+        at = at[held[slot[at]] == pairs[at]]
         if not len(at):
             break
         rule = slot[at]
         # in a run of pairs that overlap, every second one from the left is replaced
-        head = np.r_[True, np.diff(at) > 1]
-        run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
+        place = np.arange(len(at), dtype="int32")
+        run = place.copy()
+        run[1:][np.diff(at) == 1] = 0
+        take = (place - np.maximum.accumulate(run)) & 1 == 0
         at, rule = at[take], rule[take]
         # pairs that are left with a few places get no rule
-        used = np.bincount(rule, minlength=1 << BITS) >= 4
+        used = np.bincount(rule, minlength=1 << BITS) >= frequent // 2
         at, rule = at[used[rule]], rule[used[rule]]
         if not len(at):
             break

@@ -36,8 +36,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .common import _powers, bucket_bounds, bucket_of, claim, mix, partitions, ready, staged, steps, trim, utf8
 
 LENGTH, GRAM = 50, 20
-#: Shards for each shuffle partition.
-SHARDS = 4
+#: Bytes of text of a shard.
+SHARD_BYTES = 4 << 20
 #: One text in so many gives leading tokens for the splitters.
 SAMPLE = 64
 _LAST = (1 << 63) - 1
@@ -194,7 +194,7 @@ class _Shard:
             if self.rank < 0 or k != self.key:
                 self.rank, self.key = self.rank + 1, k
             ranks[i] = self.rank
-        for a, b in steps(ends, 1 << 18):
+        for a, b in steps(ends):
             row, begin, count, token, content = runs(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], self.length)
             self.parts.append((ranks[a + row], begin + ends[a] - ends[0] + self.size, count, token & _MASK, content & _MASK))
         self.blobs.append(data[ends[0] : ends[-1]])
@@ -251,16 +251,21 @@ def _splitters(given: DataFrame, n: int, length: int) -> np.ndarray:
     return np.unique(values[np.linspace(0, len(values) - 1, n + 1).astype(int)[1:-1]]) if len(values) > n else values
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Add n_bytes, spans (removed bytes, begin and end) and kept (the other bytes) to every document."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, in_place: bool = False) -> DataFrame:
+    """Add n_bytes, spans (removed bytes, begin and end) and kept (the other bytes) to every document.
+
+    With in_place the text column itself is replaced by what is left (a character that a cut goes through goes) instead
+    of kept; null texts stay null.
+    """
     if length < GRAM:
         raise ValueError(f"strings have {GRAM} bytes at least")
     spark = docs.sparkSession
     ready(spark)
     # a shard's texts and runs are held in memory, some thirty bytes for one of text
-    n = SHARDS * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
+    n = max(partitions(spark), -(-size // SHARD_BYTES))
     bounds = bucket_bounds(docs, key, n)
-    made = ["n_bytes", "spans", "kept"]
+    made = ["n_bytes", "spans"] + ["kept"] * (not in_place)
     kept_columns = [c for c in docs.columns if c not in made]
     rest = [c for c in kept_columns if c != text]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
@@ -351,7 +356,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     asking = shards(notes.select("shard", "ask_t", "ask_c"), ["t"]).select("shard", "kind", "k", "t", "ask_t", "ask_c")
     parts, _ = staged(asking.mapInArrow(send_bytes, "bucket int, shard int, tokens binary, contents binary, counts binary, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(compare_bytes, "shard int, part_t binary, part_c binary, part_bits binary"), "parts")
-    schema = StructType([*docs.select(*kept_columns).withColumn(text, F.col(text).cast("string")).schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))), StructField("kept", BinaryType())])
+    schema = StructType([*docs.select(*kept_columns).withColumn(text, F.col(text).cast("string")).schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())])))] + [StructField("kept", BinaryType())] * (not in_place))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, _ = load(batches)
@@ -405,8 +410,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 spans.append([{"begin": x, "end": y} for x, y in edge.tolist()])
                 kept.append(shard.blob[a:b][~g].tobytes() if len(edge) else shard.blob[a:b].tobytes())
             own = batch.column(4)
-            columns = [batch.column(3) if c == text else own.field(rest.index(c)) for c in kept_columns]
-            made_ = [pa.array(np.diff(np.array(ends))), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+            texts = batch.column(3)
+            if in_place and any(spans):
+                texts = pa.array([b.decode("utf-8", "ignore") if s else t for b, s, t in zip(kept, spans, texts.to_pylist())], pa.string())
+            columns = [texts if c == text else own.field(rest.index(c)) for c in kept_columns]
+            made_ = [pa.array(np.diff(np.array(ends))), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())][: len(made)]
             yield pa.RecordBatch.from_arrays([*columns, *made_], names=schema.names)
         del shard
         trim()

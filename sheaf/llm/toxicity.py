@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _LOWER, claim, mix, ready, steps, utf8, _powers
+from .common import _LOWER, claim, mix, ready, steps, trim, utf8, _powers
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 5000
@@ -252,10 +252,11 @@ def toxicity(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:
         for batch in batches:
             data, ends = utf8(batch.column(place))
             scores = np.zeros(batch.num_rows)
-            for a, b in steps(ends, 1 << 19) if not net.empty else ():
+            for a, b in steps(ends) if not net.empty else ():
                 ids, at = features(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
                 scores[a:b] = net.score(ids, at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)
+        trim()
 
     return given.mapInArrow(run, schema)
 
