@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +40,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that earlier documents hold; a document of which nothing is left goes."""
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))  # a cut through a character takes all of it
-
-    cut = remove_repeats(docs)
-    text = F.when(F.size("spans") > 0, text_of("kept")).otherwise(F.col("text"))
-    left = cut.where((F.col("n_bytes") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
-    return left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = remove_repeats(docs, in_place=True)
+    changed = F.size("spans") > 0
+    left = cut.where(~changed | (F.col("text") != ""))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
