@@ -1,11 +1,11 @@
 """Licence notices in texts, by a positional index of rare words.
 
 Words are runs of ASCII letters, digits and bytes of other scripts, A-Z lower-cased. A first pass counts in how many
-texts each word of the licence templates stands. The second pass takes a text's licence words of the highest inverse
-document frequency, looks up the template postings of those words, and intersects them by relative position: each
-place of the text and posting of the same word vote, by the word's weight, for the place where the template would
-begin. A template that has enough of its weight at one beginning, and whose mandatory phrases all stand there, gives
-its label. Base phrases give their own labels wherever their words stand consecutively.
+texts each word of the licence templates stands. The second pass looks up, for each template whose mandatory words a
+text holds, the mandatory word of the highest inverse document frequency: each of its places names the place where the
+template would begin, and no other place can be one, as that word must stand there. A template whose mandatory phrases
+all stand at a beginning, with enough of its weight, gives its label. Base phrases give their own labels wherever
+their words stand consecutively.
 
 A null or empty text has no words, no labels and score 0. Each of repeated rows is scanned. Other columns stay; result
 columns replace columns of the same names. Without texts nothing is counted and nothing returned.
@@ -65,8 +65,6 @@ TEMPLATES = (
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: Rarest licence words of a text that are looked up.
-RAREST = 8
 #: Share of a template's weight that must lie at one beginning.
 SHARE = 0.6
 
@@ -76,25 +74,28 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words and weights of the words."""
+    """Postings of the templates' rarest mandatory words and weights of all their words."""
 
     def __init__(self, texts: int, found_in: dict[bytes, int], templates: tuple[Template, ...] = TEMPLATES) -> None:
         self.templates = [(t, words(t.notice.encode()), []) for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (t, notice, must) in enumerate(self.templates):
-            for i, w in enumerate(notice):
-                self.postings[w].append((k, i))
+        self.vocabulary = {w for _, notice, _ in self.templates for w in notice}
+        for t, notice, must in self.templates:
             for phrase in t.must:
                 p = words(phrase.encode())
                 must.append((next(i for i in range(len(notice)) if notice[i : i + len(p)] == p), p))
-        self.weight = {w: math.log((1 + texts) / (1 + found_in.get(w, 0))) + 1e-6 for w in self.postings}
+        self.weight = {w: math.log((1 + texts) / (1 + found_in.get(w, 0))) + 1e-6 for w in self.vocabulary}
+        #: By template: its mandatory words, the rarest of them and that word's place in the notice.
+        self.rarest = []
+        for _, _, must in self.templates:
+            at, w = max(((i + j, w) for i, p in must for j, w in enumerate(p)), key=lambda x: (self.weight[x[1]], x[1]))
+            self.rarest.append((frozenset(w for _, p in must for w in p), w, at))
         self.total = [sum(self.weight[w] for w in notice) for _, notice, _ in self.templates]
         self.base = [(words(p.encode()), label) for p, label in BASE.items()]
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, list[tuple[str, int, int, float]]]:
         """n_words, n_base, first_word, last_word, base labels, labels, score and the spans (label, begin, end, share)."""
         found = words(text)
-        vocabulary = self.postings.keys() & set(found)
+        vocabulary = self.vocabulary & set(found)
         if not vocabulary:
             return len(found), 0, None, None, "", "", 0.0, []
         places: dict[bytes, list[int]] = defaultdict(list)
@@ -109,15 +110,9 @@ class Index:
                 at += hits
                 if hits:
                     labels.add(label)
-        votes: Counter[tuple[int, int]] = Counter()
-        looked = sorted(places, key=lambda w: (-self.weight[w], w))[:RAREST]
-        for w in looked:
-            for k, q in self.postings[w]:
-                for i in places[w]:
-                    votes[k, i - q] += self.weight[w]
         spans, best = [], 0.0
-        # the words not looked up are counted at the beginnings that the rarest words name
-        for (k, begin), _ in votes.items():
+        # each place of a template's rarest mandatory word names a beginning
+        for k, begin in [(k, i - q) for k, (needed, w, q) in enumerate(self.rarest) if needed <= vocabulary for i in places[w]]:
             template, notice, must = self.templates[k]
             if any(found[begin + i : begin + i + len(p)] != p if begin + i >= 0 else True for i, p in must):
                 continue

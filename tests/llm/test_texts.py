@@ -59,6 +59,25 @@ def test_license_phrases_and_templates(docs):
     assert rows[4]["first_word"] is None and all(0 <= r["score"] <= 1 for r in rows) and rows[6]["spans"][0]["begin"] == 0
 
 
+def test_license_templates_are_found_at_every_beginning(docs):
+    notices = [t.notice for t in licenses.TEMPLATES]
+    whole = "Some words. ".join(f"{n}.\n" for n in notices)
+    texts = [whole, *(f"{notices[1]}, and {n}" for n in notices), *[f"row {i}: {notices[1]}" for i in range(12)], *["nothing here"] * 6]
+    rows = licenses.license_scan(docs(texts)).orderBy("doc_id").collect()
+    index = licenses.Index(*licenses.word_documents(docs(texts)))
+    for text, row in zip(texts, rows, strict=True):
+        found = licenses.words(text.encode())
+        want = []
+        for (t, notice, must), total in zip(index.templates, index.total):
+            for begin in range(1 - len(notice), len(found)):
+                share = sum(index.weight[w] for i, w in enumerate(notice) if 0 <= begin + i < len(found) and found[begin + i] == w) / total
+                if share >= licenses.SHARE and all(begin + i >= 0 and found[begin + i : begin + i + len(p)] == p for i, p in must):
+                    want.append((t.label, max(begin, 0), min(begin + len(notice), len(found)), share))
+        assert [tuple(s) for s in row["spans"]] == sorted(want)
+        assert {s[0] for s in want} <= set(row["labels"].split(","))
+    assert set(rows[0]["labels"].split(",")) >= {t.label for t in licenses.TEMPLATES}
+
+
 def test_license_odd_rows(odd_docs, none_docs):
     assert licenses.license_scan(odd_docs).count() == odd_docs.count()
     assert licenses.license_scan(none_docs).count() == 0
