@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element, each with the length of its text. Lines of menus, headers,
-footers, sidebars, notices, adverts, forms and comments weigh nothing, and link text weighs nothing either. Lengths are
-summed over a sliding window of lines; text begins at a surge, where a window's sum leaves zero at a line that has
-weight, and ends at the dive, where the sum is back at zero. Between the surge and the dive every line of text is kept,
-short ones too. If the page marks an article (or a main part), lines outside of it weigh nothing; otherwise the stretch
-with the largest sum is the text.
+footers, sidebars, notices, adverts, forms and comments are taken out. If the page marks an article (or a main part),
+its lines are the text, whatever they weigh. Otherwise lengths without link text are summed over a sliding window of
+the lines left; text begins at a surge, where a window's sum leaves zero at a line that has weight, and ends at the
+dive, where the sum is back at zero: at WINDOW lines of links alone, as what is taken out ends nothing. Between the
+surge and the dive every line is kept, short ones and links too. All stretches that reach SURGE in a window are the
+text, or if none does the one with the largest sum.
 
 Null, empty and text-free pages have the empty text. Repeated rows are each extracted. Other columns stay; result
 columns replace columns of the same names.
@@ -27,6 +28,8 @@ from .common import ready
 
 #: Lines of one block of the distribution.
 WINDOW = 3
+#: Characters of a window that make a stretch text beside others.
+SURGE = 80
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button".split())
 #: Elements that hold no main text.
@@ -144,33 +147,29 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def _weights(found: list[Line]) -> list[int]:
-    marked = any(x.marked and not x.apart for x in found)
-    return [0 if x.apart or marked and not x.marked else max(len(x.text) - x.linked, int(marked)) for x in found]
-
-
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by line feeds."""
-    found = lines(page or "")
-    weight = _weights(found)
+    found = [x for x in lines(page or "") if not x.apart]
+    marked = [x.text for x in found if x.marked]
+    if marked:
+        return "\n".join(marked)
+    weight = [len(x.text) - x.linked for x in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    marked = any(x.marked and not x.apart for x in found)
-    stretches: list[tuple[int, list[int]]] = []
+    stretches: list[tuple[int, int, range]] = []
     i = 0
     while i < len(weight):
-        if not weight[i] or not sums[i]:
+        if not weight[i]:
             i += 1
             continue
         end = i
         while end < len(weight) and sums[end]:  # the dive: a whole window without text
             end += 1
-        rows = [k for k in range(i, end) if weight[k]]
-        stretches.append((sum(weight[k] for k in rows), rows))
+        stretches.append((max(sums[i:end]), sum(weight[i:end]), range(i, end)))
         i = end
     if not stretches:
         return ""
-    kept = [k for _, rows in stretches for k in rows] if marked else max(stretches, key=lambda x: x[0])[1]
-    return "\n".join(found[k].text for k in kept)
+    kept = [rows for top, _, rows in stretches if top >= SURGE] or [max(stretches, key=lambda x: x[1])[2]]
+    return "\n".join(found[k].text for rows in kept for k in rows)
 
 
 def main_texts(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -98,6 +98,16 @@ def test_main_text_without_marks():
     assert len(got) == 4 and got[-1] == "Short."
 
 
+def test_main_text_without_marks_is_whole():
+    long = [f"Paragraph {i} is a sentence that is long enough to be text, and it goes on for some more words." for i in range(5)]
+    apart = "<div class=ad><p>Buy now,</p><p>it is good,</p><p>and it is cheap.</p></div>"
+    links = "".join(f"<p><a href=/{i}>Read {i}</a></p>" for i in range(3))
+    p = "<p>{}</p>".format
+    page = f"<ul>{links}</ul><div>{p(long[0])}{p(long[1])}{apart}{p(long[2])}<p><a href=/x>Only a link</a></p>{p(long[3])}{apart}{p('Short.')}</div><div>{links}</div>{p(long[4])}{links}<p>x</p>"
+    assert line_blocks.main_text(page).split("\n") == [*long[:3], "Only a link", long[3], "Short.", long[4]]
+    assert line_blocks.main_text(f"<p>One.</p>{links}<p>Two, longer.</p>") == "Two, longer."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a href='x", "<!-- x", "<script>alert(1)", "&", "</p></div>", "<p>" * 3000])
 def test_broken_pages(page):
     line_blocks.main_text(page)
