@@ -47,6 +47,14 @@ GALLERIES = {
     "gallery:srcset": "srcset=",
     "gallery:data-src-lazy": "data-src=",
 }
+#: Patterns of photo paths in markup, in their own case.
+GRAMMARS = {
+    "grammar:/service/picture/": r"/service/picture/",
+    "grammar:resize-WxH-segment": r"(?i)/(?:resize/)?\d{1,5}x\d{1,5}(?=/)",
+    "grammar:impolicy-query": r"impolicy=",
+    "grammar:dealercenter-numeric-pair": r"imagescf\.dealercenter\.net",
+    "grammar:homenet-media": r"getauto\.photos|content\.homenetiol\.com",
+}
 #: Class prefixes that say nothing; the least count and the number of class families.
 PLAIN_CLASSES = (
     "col row btn nav bg text border flex grid justify items font is has no not px py mx my mt mb ml mr pt pb pl pr sm md lg xl xs fa icon active hidden "
@@ -57,9 +65,9 @@ PLAIN_CLASSES = (
 FAMILY_COUNT, FAMILIES, HOSTS = 8, 12, 8
 
 
-def _named(rules: dict[str, str], html: Column, regex: bool) -> Column:
+def _named(rules: dict[str, str], html: Column, regex: bool, flags: str = "(?i)") -> Column:
     """Names of the rules that hold, sorted."""
-    return F.array_sort(F.filter(F.array(*(F.when(html.rlike(f"(?i){p}") if regex else F.lower(html).contains(p), F.lit(n)) for n, p in rules.items())), lambda x: x.isNotNull()))
+    return F.array_sort(F.filter(F.array(*(F.when(html.rlike(flags + p) if regex else F.lower(html).contains(p), F.lit(n)) for n, p in rules.items())), lambda x: x.isNotNull()))
 
 
 def class_tokens(html: Column) -> Column:
@@ -92,6 +100,7 @@ def features(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     parts = [
         flat("platform_tokens", _named(PLATFORMS, F.col("h"), True)),
         flat("gallery_mechanisms", _named(GALLERIES, F.col("h"), False)),
+        flat("photo_path_grammars", _named(GRAMMARS, F.col("h"), True, "")),
         flat("pagination", _named(paging, F.col("h"), True)),
         flat("json_ld_types", types),
         top(families, "f", FAMILIES).select(key, F.lit("class_families").alias("feature"), F.concat(F.lit("family:"), F.col("f"), F.lit("-")).alias("value")),

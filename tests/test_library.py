@@ -28,6 +28,20 @@ def test_matches_are_found_and_rendered(spark):
     assert row["text"] == "1. https://a.example (score 12.00) shares platform_tokens: x, y, z"
 
 
+def test_photo_path_grammars_of_pages(spark):
+    urls = {
+        1: "https://a.example/service/picture/1.jpg", 2: "https://a.example/Resize/640X480/1.jpg", 3: "https://a.example/1.jpg?impolicy=x&w=1", 4: "https://imagescf.dealercenter.net/640/480/1.jpg",
+        5: "https://content.homenetiol.com/1.jpg", 6: "https://getauto.photos/1/640x480/1.jpg", 7: "https://a.example/640x480.jpg?Impolicy=x", 8: None,
+    }
+    pages = spark.createDataFrame([(k, u and f'<img src="{u}">') for k, u in urls.items()], "page_id long, html string")
+    found = S.features(pages, "page_id")
+    got = sorted((r["page_id"], r["value"]) for r in found.where("feature = 'photo_path_grammars'").collect())
+    names = {1: ["/service/picture/"], 2: ["resize-WxH-segment"], 3: ["impolicy-query"], 4: ["dealercenter-numeric-pair"], 5: ["homenet-media"], 6: ["homenet-media", "resize-WxH-segment"]}
+    assert got == [(k, f"grammar:{n}") for k, v in names.items() for n in v]
+    (weight,) = found.where("page_id = 3 and feature = 'photo_path_grammars'").select(S.weight(F.col("feature"), F.col("value"))).first()
+    assert weight == 2.0
+
+
 def test_evidence_is_bounded(spark):
     raw = json.dumps({"a": "<b>" * 300, "deep": {"x": {"y": {"z": 1}}}, "list": list(range(50)), "big": 1e20})
     df = spark.createDataFrame([(raw,), ("[1]",), (None,), (json.dumps({str(i): "x" * 400 for i in range(16)}),)], "e string")
