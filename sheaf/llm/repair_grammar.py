@@ -2,8 +2,8 @@
 
 Documents are dealt to shards of consecutive keys and sorted there. A shard is written as blocks of about BLOCK ids,
 always at document ends. In a block, the frequent pairs of neighbouring ids are replaced by nonterminals, round after
-round, pairs of nonterminals too; a round takes all pairs that stand often enough, from left to right without
-overlaps. A block holds its rules (pairs of symbols), the expansion length of every rule, and the remaining symbols, so
+round, pairs of nonterminals too; a round counts pairs exactly and takes all that stand often enough, from left to
+right without overlaps. Rounds end when no pair stands FREQUENT times. A block holds its rules (pairs of symbols), the expansion length of every rule, and the remaining symbols, so
 that any range of ids is found by the symbols' lengths and only those symbols are expanded.
 
 The files are a Parquet folder of blocks: shard, block, start (ids of the shard before it), n_ids, doc_ids, doc_lengths
@@ -29,8 +29,8 @@ from .common import _LEFT, bucket_bounds, bucket_of, partitions, ready, shared_d
 from .tokens import encoder
 
 END = 1
-#: Ids of a block, rounds of replacement, occurrences that make a pair frequent, and bits of the pairs' first count.
-BLOCK, ROUNDS, FREQUENT, BITS = 1 << 19, 4, 32, 18
+#: Ids of a block, occurrences that make a pair frequent, and bits of the filter by which frequent pairs are found.
+BLOCK, FREQUENT, BITS = 1 << 19, 16, 18
 _MAGIC = b"RPG1"
 
 
@@ -103,52 +103,58 @@ class Grammar:
         return self.expand(self.symbols[a : b + 1])[start - before : stop - before]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Grammar:
-    """The grammar of a block of ids, all of them below base."""
-    # symbols take 16 bits where the vocabulary leaves room for rules, which are then the most frequent pairs
+def compress(ids: np.ndarray, base: int, frequent: int = FREQUENT) -> Grammar:
+    """The grammar of a block of ids, all of them below base; no pair of its symbols stands frequent times."""
+    # symbols take 16 bits as long as there is room for rules beside the vocabulary
     room = (1 << 16) - base
     half = 16 if room >= 4096 else 32
     kind = np.uint32 if half == 16 else np.uint64
     symbols = ids.astype("uint16" if half == 16 else "uint32")
     rules, lengths = [np.zeros((0, 2), "uint32")], [np.zeros(0, "uint32")]
     size_of, made = np.ones(1, "uint32"), 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    held, fresh = np.full(1 << BITS, -1, "int32"), 0
+    while len(symbols) > 1:
         pairs = symbols[:-1].astype(kind) << kind(half) | symbols[1:].astype(kind)
-        # pairs are counted in slots of a hash table; of pairs that share a slot one is looked at in this round
         slot = ((pairs * kind(0x9E3779B97F4A7C15 >> (64 - 2 * half))) >> kind(2 * half - BITS)).astype("int32")
-        held = np.zeros(1 << BITS, kind)
-        held[slot] = pairs
-        count = np.bincount(slot, minlength=1 << BITS)
-        often = count >= frequent
-        if half == 16 and often.sum() > room - made:
-            often[:] = False
-            often[np.argsort(-count, kind="stable")[: room - made]] = True
-        at = np.flatnonzero(often[slot])
-        at = at[held[slot[at]] == pairs[at]]
-        if not len(at):
+        # only pairs with a symbol of the last round, or that were frequent in it, can be frequent now
+        new = symbols >= fresh
+        look = np.flatnonzero(new[:-1] | new[1:] | (held[slot] >= 0))
+        seen = np.sort(pairs[look])
+        edge = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]])[: len(seen)])
+        often = seen[edge[np.diff(np.append(edge, len(seen))) >= frequent]]
+        if not len(often):
             break
-        rule = slot[at]
+        # frequent pairs are found by slot; one that shares its slot with another one is searched for
+        held[:] = -1
+        held[((often * kind(0x9E3779B97F4A7C15 >> (64 - 2 * half))) >> kind(2 * half - BITS)).astype("int32")] = np.arange(len(often), dtype="int32")
+        at = look[held[slot[look]] >= 0]
+        rule, own = held[slot[at]], pairs[at]
+        other = np.flatnonzero(often[rule] != own)
+        rule[other] = np.minimum(np.searchsorted(often, own[other]), len(often) - 1)
+        same = often[rule] == own
+        at, rule = at[same], rule[same]
         # in a run of pairs that overlap, every second one from the left is replaced
         place = np.arange(len(at), dtype="int32")
         run = place.copy()
         run[1:][np.diff(at) == 1] = 0
         take = (place - np.maximum.accumulate(run)) & 1 == 0
         at, rule = at[take], rule[take]
-        # pairs that are left with a few places get no rule
-        used = np.bincount(rule, minlength=1 << BITS) >= frequent // 2
+        # pairs that are left with a few places wait for a later round; at least half of all places are taken, so some pair is not
+        used = np.bincount(rule, minlength=len(often)) >= frequent // 2
         at, rule = at[used[rule]], rule[used[rule]]
-        if not len(at):
-            break
-        new = np.cumsum(used) - 1
-        found = held[used]
+        found = often[used]
+        if half == 16 and made + len(found) > room:
+            # no room: the block goes on with symbols of 32 bits, and all pairs are counted again
+            half, kind, symbols, fresh = 32, np.uint64, symbols.astype("uint32"), 0
+            continue
+        new_of = np.cumsum(used) - 1
         two = np.stack([found >> kind(half), found & kind((1 << half) - 1)], axis=1).astype("uint32")
         known = np.where(two >= base, two.astype("int64") - base + 1, 0)
         rules.append(two)
         lengths.append(size_of[known].sum(axis=1).astype("uint32"))
         size_of = np.concatenate([size_of, lengths[-1]])
-        symbols[at] = base + made + new[rule]
+        fresh = base + made
+        symbols[at] = fresh + new_of[rule]
         made += len(two)
         gone = np.ones(len(symbols), bool)
         gone[at + 1] = False

@@ -116,6 +116,19 @@ def test_grammar_round_trip(base):
     assert len(g.symbols) < len(long) / 8 and (g.ids() == long).all()
 
 
+@pytest.mark.parametrize("base", (49_408, 61_400, 70_000))
+def test_no_frequent_pair_is_left(base):
+    r = np.random.default_rng(base)
+    passage = r.integers(0, 40_000, 300)
+    parts = [passage] * 40 + [r.integers(0, 100, 400_000)] + [r.integers(0, 40_000, 20_000)] + [np.full(5_000, 7)]
+    ids = np.concatenate(parts).astype("<u4")
+    g = repair_grammar.Grammar.from_bytes(repair_grammar.compress(ids, base).to_bytes())
+    assert (g.ids() == ids).all() and (g.ids(5_000, 9_000) == ids[5_000:14_000]).all()
+    left = Counter(zip(g.symbols[:-1].tolist(), g.symbols[1:].tolist()))
+    assert max(left.values()) < repair_grammar.FREQUENT
+    assert g.lengths.max() > 100
+
+
 def test_token_files_in_order(spark, odd_docs, none_docs):
     folder = repair_grammar.new_folder(spark)
     repair_grammar.write_ids(odd_docs, WORDS, folder)
