@@ -4,14 +4,16 @@
    BANDS band keys of ROWS minima each, and the two low bits of every minimum, packed in five integers.
 2. Documents of equal sets are one class, represented by the smallest id; only representatives go on.
 3. In each band bucket all members are candidates of the bucket's smallest member. The similarity estimated from equal
-   bit pairs, corrected for chance collisions, drops what only met by chance (an estimate below CHANCE).
+   bit pairs, corrected for chance collisions, drops what only met by chance (an estimate below CHANCE). The dropped
+   members of a bucket are tried with their own smallest one, and so on until none is left.
 4. Components of these candidates are compared on full sets, block by block of at most 2 * CHUNK members: intersections
    by a matrix product over the shingles that at least two members have. A block returns a forest of its links, not the
    links, so rows do not grow with the square of a group. Larger components are dealt to all pairs of chunks, so every
    two members meet in a block.
 5. Components of the forests give the classes.
 
-Two documents at the threshold share no band once in some ten million. Null texts and texts without words have empty
+Two documents at the threshold share no band once in some ten million. Two that share bands are still lost if in each
+of these the estimates of the two against a smallest member lie on either side of CHANCE. Null texts and texts without words have empty
 sets and are linked with nothing. Rows without an id are returned, linked with nothing, with a null component. Repeated
 rows are equal sets. Other columns are not kept by ``near_duplicates``.
 """
@@ -95,6 +97,49 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unequal / (BANDS * ROWS)) - 0.25) / 0.75
 
 
+def regroup(ids: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Ties (member, smallest) of a bucket's members, ids ascending; those dropped are tied to their own smallest one."""
+    out: list[tuple[int, int]] = []
+    while len(ids) > 1:
+        x = bits[1:] ^ bits[0]
+        unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW)).sum(axis=1, dtype="int64")
+        near = ((1 - unequal / (BANDS * ROWS)) - 0.25) / 0.75 >= CHANCE
+        out += [(i, int(ids[0])) for i in ids[1:][near].tolist()]
+        ids, bits = ids[1:][~near], bits[1:][~near]
+    return out
+
+
+def _second_ties(dropped: DataFrame, banded: DataFrame, firsts: DataFrame, bits: DataFrame) -> DataFrame:
+    """Ties (a, b) among the members (id, first) that buckets dropped from their smallest one."""
+    n = partitions(banded.sparkSession)
+    rows = banded.join(dropped.select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("band"))
+    again = rows.join(firsts, "band").join(dropped, ["id", "first"]).select("band", "id")
+    several = again.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    given = again.join(several, "band").join(bits, "id").select("band", "id", "bits").repartition(n, "band").sortWithinPartitions("band", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
+        now, ids, own = None, [], []
+
+        def ties() -> pa.RecordBatch:
+            found = regroup(np.array(ids, "int64"), np.array(own, "int64").view("uint64"))
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for band, id_, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != band:
+                    if len(ids) > 1:
+                        yield ties()
+                    now, ids, own = band, [], []
+                ids.append(id_)
+                own.append(b)
+        if len(ids) > 1:
+            yield ties()
+        trim()
+
+    return given.mapInArrow(run, "a long, b long")
+
+
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all sets with 100 * intersection >= percent * union, as pairs of positions."""
     m = len(sets)
@@ -200,12 +245,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     firsts = rows.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "first")
     met = rows.join(firsts, "band").where("id <> first").select("id", "first").distinct()
     bits = banded.select("id", "bits")
-    likely = met.join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first").where(estimate(F.col("bits"), F.col("other")) >= CHANCE)
+    judged = met.join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first")
+    judged, judged_path = staged(judged.select("id", "first", (estimate(F.col("bits"), F.col("other")) >= CHANCE).alias("near")), "judged")
+    likely = judged.where("near")
     # a member's smallest bucket neighbour stands for all: the others, BANDS at most, are tied to it once for all members
     least = F.array_min("f")
     ties = F.array_append(F.transform(F.array_except("f", F.array(least)), lambda x: F.struct(x.alias("a"), least.alias("b"))), F.struct(F.col("id").alias("a"), least.alias("b")))
-    tied = likely.groupBy("id").agg(F.collect_set("first").alias("f")).select(F.explode(ties).alias("t")).select("t.a", "t.b").distinct()
-    candidates = components(tied)
+    tied = likely.groupBy("id").agg(F.collect_set("first").alias("f")).select(F.explode(ties).alias("t")).select("t.a", "t.b")
+    second = _second_ties(judged.where("not near").select("id", "first"), banded, firsts, bits)
+    candidates = components(tied.union(second).distinct())
+    release(spark, judged_path)
     members = candidates.select(F.col("node").alias("id"), F.col("label").alias("comp"))
     links, links_path = staged(_blocks(members, docs, key, text, k, percent), "links")
     labels = components(links)

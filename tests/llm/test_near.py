@@ -74,6 +74,19 @@ def test_a_large_family_is_dealt_to_blocks(docs, monkeypatch):
     assert [got[i] for i in range(60)] == want
 
 
+def test_copies_whose_buckets_begin_with_other_documents(docs, monkeypatch):
+    from sheaf.llm import minhash
+
+    # bands of one row and a high CHANCE: every band of the two copies has a smaller member that holds their line by chance
+    for name, value in (("BANDS", 160), ("ROWS", 1), ("CHANCE", 0.8)):
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(5)
+    line = " ".join(f"l{i}" for i in range(32))
+    texts = [f"{line} " + " ".join(f"h{r.randint(0, 10**9)}" for _ in range(20)) for _ in range(400)] + [line, f"{line} and three more"]
+    got = {row["id"]: row["component"] for row in near_duplicates(docs(texts)).collect()}
+    assert [got[i] for i in range(402)] == [*range(401), 400]
+
+
 def test_near_odd_rows(odd_docs, none_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
