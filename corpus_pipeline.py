@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: the operators of sheaf.llm, one after another.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of documents; run() writes each stage's rows to the shared folder and reads them back. Rows of equal doc_id stand or
+of documents; run() writes each stage's rows to the shared folder, reads them back, and drops what the stage has left. Rows of equal doc_id stand or
 fall together where a stage drops documents.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import staged
+from sheaf.llm.common import left_since, settle, staged, staged_so_far
 from sheaf.llm.decontamination import contamination
 from sheaf.llm.minhash import near_duplicates
 from sheaf.llm.packing import pack
@@ -72,6 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = staged_so_far()
     for name, stage in STAGES[:-1]:
-        docs, _ = staged(stage(spark, docs, sf_dir), name)
+        docs, path = staged(stage(spark, docs, sf_dir), name)
+        left_since(begun, path)  # the stage's own tables and its input
+        settle(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: whole texts are some kilobytes each, so a batch stays at a few megabytes.
 BATCH_ROWS = 512
+#: Bytes of one Arrow batch, about; a row is never cut.
+BATCH_BYTES = 8 << 20
 #: Bytes of text handled by one vectorised step; a longer text is one step of its own.
 STEP_BYTES = 1 << 18
 
@@ -24,9 +28,11 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in a session without one (tests), a local one is set."""
+    """The folder that driver and executors share; a session of one process (tests) without one gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sheaf-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -34,8 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, as texts are wide."""
+    """Bound the session's Arrow batches by rows and bytes, as texts are wide.
+
+    It stays so: the setting is read when a plan runs, which is after the operator that made it has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -104,6 +114,24 @@ def bucket_of(key: str, bounds: list[int]) -> Column:
     return F.when(F.col(key).isNull(), 0).otherwise(F.expr(tree(0, len(bounds)))).cast("int")
 
 
+def left_since(mark: int, keep: str) -> None:
+    """Drop the tables staged since mark (see ``staged_so_far``) but the one to keep."""
+    for spark, path in _LEFT[mark:]:
+        if path != keep:
+            release(spark, path)
+
+
+def staged_so_far() -> int:
+    return len(_LEFT)
+
+
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage, in Python and the JVM: what a long plan or a trained model leaves is given back."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 _OWNER = ""
 _FORGET: dict[str, Callable[[], None]] = {}
 

@@ -3,19 +3,22 @@
 1. One pass over the texts gives each document's set of word shingles (as hashes), its size, a hash of the whole set,
    BANDS band keys of ROWS minima each, and the two low bits of every minimum, packed in five integers.
 2. Documents of equal sets are one class, represented by the smallest id; only representatives go on.
-3. In each band bucket all members are candidates of the bucket's smallest member. The similarity estimated from equal
-   bit pairs, corrected for chance collisions, drops what only met by chance (an estimate below CHANCE). The dropped
-   members of a bucket are tried with their own smallest one, and so on until none is left.
-4. Components of these candidates are compared on full sets, block by block of at most 2 * CHUNK members: intersections
+3. Two members of a band bucket are candidates if no more of their bit pairs differ than those of two documents at the
+   threshold may: the expected number, collisions by chance included, and SIGMAS standard deviations. Boilerplate that
+   fills a bucket with texts that are otherwise unlike makes no candidates.
+   Each member is tried with the bucket's smallest one first; components of these ties are groups. What else could tie
+   two groups stands in buckets of several groups: there the members outside the bucket's largest group are tried with
+   all others, block by block of at most 2 * PART members, by bit counts alone.
+4. Components of all candidates are compared on full sets, block by block of at most 2 * CHUNK members: intersections
    by a matrix product over the shingles that at least two members have. A block returns a forest of its links, not the
-   links, so rows do not grow with the square of a group. Larger components are dealt to all pairs of chunks, so every
-   two members meet in a block.
+   links, so rows do not grow with the square of a group. Larger components, which only families of hundreds of texts
+   that are all like one another make, are dealt to all pairs of chunks, so every two members meet in a block.
 5. Components of the forests give the classes.
 
-Two documents at the threshold share no band once in some ten million. Two that share bands are still lost if in each
-of these the estimates of the two against a smallest member lie on either side of CHANCE. Null texts and texts without words have empty
-sets and are linked with nothing. Rows without an id are returned, linked with nothing, with a null component. Repeated
-rows are equal sets. Other columns are not kept by ``near_duplicates``.
+Two documents at the threshold share no band once in some ten million, and differ in more bit pairs than allowed once
+in a billion. Null texts and texts without words have empty sets and are linked with nothing. Rows without an id are
+returned, linked with nothing, with a null component. Repeated rows are equal sets. Other columns are not kept by
+``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from .common import claim, mix, partitions, ready, release, shingles, staged, st
 from .graph import components
 
 BANDS, ROWS = 32, 5
-#: Estimates below this are chance meetings of a bucket.
-CHANCE = 0.12
+#: Standard deviations by which candidates may differ in more bit pairs than expected at the threshold.
+SIGMAS = 6
+#: Members of a bucket's part in a block of bit counts.
+PART = 2048
 #: Members of a part of a large component.
 CHUNK = 384
 _LOW = 0x5555555555555555
@@ -88,49 +93,86 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     return given.mapInArrow(run, "id long, n long, whole binary, bands array<long>, bits array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed low bits: the share of equal pairs of bits, less the quarter that is equal by chance."""
-    unequal = F.lit(0)
+def allowed(percent: int) -> int:
+    """Bit pairs of BANDS * ROWS that may differ between candidates: two bits are equal by chance once in four times."""
+    differ = 0.75 * (1 - percent / 100)
+    n = BANDS * ROWS
+    return int(n * differ + SIGMAS * (n * differ * (1 - differ)) ** 0.5)
+
+
+def unequal(a: Column, b: Column) -> Column:
+    """How many bit pairs of two packed signatures differ."""
+    found = F.lit(0)
     for j in range(5):
         x = a[j].bitwiseXOR(b[j])
-        unequal = unequal + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(_LOW)))
-    return ((1 - unequal / (BANDS * ROWS)) - 0.25) / 0.75
+        found = found + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(_LOW)))
+    return found
+
 
+def _unequal(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    x = others ^ one
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW)).sum(axis=1, dtype="int64")
 
-def regroup(ids: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """Ties (member, smallest) of a bucket's members, ids ascending; those dropped are tied to their own smallest one."""
+
+def ties_of(ids: np.ndarray, bits: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ties that connect all members with at most so many unequal bit pairs: each is met once, from where it is reached."""
     out: list[tuple[int, int]] = []
-    while len(ids) > 1:
-        x = bits[1:] ^ bits[0]
-        unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_LOW)).sum(axis=1, dtype="int64")
-        near = ((1 - unequal / (BANDS * ROWS)) - 0.25) / 0.75 >= CHANCE
-        out += [(i, int(ids[0])) for i in ids[1:][near].tolist()]
-        ids, bits = ids[1:][~near], bits[1:][~near]
+    left = np.arange(len(ids))
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            near = _unequal(bits[i], bits[left]) <= most
+            out += [(int(ids[i]), j) for j in ids[left[near]].tolist()]
+            reached += left[near].tolist()
+            left = left[~near]
     return out
 
 
-def _second_ties(dropped: DataFrame, banded: DataFrame, firsts: DataFrame, bits: DataFrame) -> DataFrame:
-    """Ties (a, b) among the members (id, first) that buckets dropped from their smallest one."""
-    n = partitions(banded.sparkSession)
-    rows = banded.join(dropped.select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    again = rows.join(firsts, "band").join(dropped, ["id", "first"]).select("band", "id")
-    several = again.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    given = again.join(several, "band").join(bits, "id").select("band", "id", "bits").repartition(n, "band").sortWithinPartitions("band", "id")
+def _later_ties(met: DataFrame, groups: DataFrame, bits: DataFrame, most: int) -> DataFrame:
+    """Ties (a, b) between groups (node, label), beside those with the smallest member, from buckets of several groups.
+
+    met (id, band) are the members besides the smallest. A bucket's largest group needs no tie
+    within: its members go to one block each, the others to a block with each part of it and of one another.
+    """
+    n = partitions(bits.sparkSession)
+    named = met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("m")).where("m > n_main")
+    part = lambda size: F.ceil(size / PART).cast("int")
+    dealt = named.join(mixed.select("band", "main", part(F.col("n_main")).alias("mains"), part(F.col("m") - F.col("n_main")).alias("others")), "band")
+    dealt = dealt.withColumn("large", F.col("label") == F.col("main")).withColumn("p", F.pmod(F.xxhash64("id"), F.when(F.col("large"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # block (i, j): part i of the others with their part j >= i, or with part -1 - j of the main group
+    i, j = F.col("p"), F.lit(-1) - F.col("p")
+    with_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda x: F.struct(F.least(i, x).alias("i"), F.greatest(i, x).alias("j")))
+    against_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: F.struct(i.alias("i"), (F.lit(-1) - x).alias("j")))
+    blocks = dealt.select("band", "id", "large", F.explode(F.when(F.col("large"), with_main).otherwise(F.concat(with_others, against_main))).alias("b")).select("band", "id", "large", "b.i", "b.j")
+    given = blocks.join(bits, "id").select("band", "i", "j", "large", "id", "bits").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "large", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("minhash")
-        now, ids, own = None, [], []
+        now, large, ids, own = None, [], [], []
 
         def ties() -> pa.RecordBatch:
-            found = regroup(np.array(ids, "int64"), np.array(own, "int64").view("uint64"))
+            every, print_ = np.array(ids, "int64"), np.array(own, "int64").view("uint64")
+            small = len(large) - sum(large)
+            if small < len(large):  # one tie to the main group is enough
+                found = []
+                for k in range(small):
+                    near = np.flatnonzero(_unequal(print_[k], print_[small:]) <= most)[:1]
+                    found += [(int(every[k]), int(every[small + x])) for x in near]
+            else:
+                found = ties_of(every, print_, most)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for band, id_, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != band:
+            for *block, is_large, id_, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != block:
                     if len(ids) > 1:
                         yield ties()
-                    now, ids, own = band, [], []
+                    now, large, ids, own = block, [], [], []
+                large.append(is_large)
                 ids.append(id_)
                 own.append(b)
         if len(ids) > 1:
@@ -241,20 +283,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes, classes_path = staged(known.groupBy("whole").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes, "whole").where("id = rep").dropDuplicates(["whole"]).select("id", "bands", "bits")
     banded, banded_path = staged(reps, "representatives")
+    most = allowed(percent)
     rows = banded.select("id", F.explode("bands").alias("band"))
-    firsts = rows.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "first")
-    met = rows.join(firsts, "band").where("id <> first").select("id", "first").distinct()
+    firsts = rows.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "first", "m")
+    met, met_path = staged(rows.join(firsts, "band").where("id <> first"), "met")
     bits = banded.select("id", "bits")
-    judged = met.join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first")
-    judged, judged_path = staged(judged.select("id", "first", (estimate(F.col("bits"), F.col("other")) >= CHANCE).alias("near")), "judged")
-    likely = judged.where("near")
-    # a member's smallest bucket neighbour stands for all: the others, BANDS at most, are tied to it once for all members
-    least = F.array_min("f")
-    ties = F.array_append(F.transform(F.array_except("f", F.array(least)), lambda x: F.struct(x.alias("a"), least.alias("b"))), F.struct(F.col("id").alias("a"), least.alias("b")))
-    tied = likely.groupBy("id").agg(F.collect_set("first").alias("f")).select(F.explode(ties).alias("t")).select("t.a", "t.b")
-    second = _second_ties(judged.where("not near").select("id", "first"), banded, firsts, bits)
-    candidates = components(tied.union(second).distinct())
-    release(spark, judged_path)
+    pairs = met.select("id", "first").distinct().join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first")
+    near, near_path = staged(pairs.where(unequal(F.col("bits"), F.col("other")) <= most).select(F.col("id").alias("a"), F.col("first").alias("b")), "near")
+    groups = components(near)
+    more, more_path = staged(_later_ties(met.where("m > 2").select("band", "id"), groups, bits, most), "ties")
+    candidates = components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    for path in (met_path, near_path, more_path):
+        release(spark, path)
     members = candidates.select(F.col("node").alias("id"), F.col("label").alias("comp"))
     links, links_path = staged(_blocks(members, docs, key, text, k, percent), "links")
     labels = components(links)

@@ -6,18 +6,23 @@ words in a string of LENGTH bytes, the one with the smallest hash is the string'
 the string stands. Neighbouring strings share it, so a text is a sequence of runs (leading token, bytes), about one for
 sixteen bytes, and equal strings lie in runs of equal leading tokens.
 
-1. Texts go to shards, ranges of ids, so a smaller shard holds smaller ids only. Each shard sends its distinct runs, as
-   hashes of token and bytes, to buckets: ranges of leading tokens between sampled splitters. A bucket sorts its runs
-   and compares neighbours: equal runs are covered in all shards but the smallest; tokens with different runs in
-   different shards are undecided.
-2. Shards send the bytes of undecided runs, each from its smallest shard alone. A bucket sorts all their suffixes of
-   LENGTH bytes by multikey quicksort (eight bytes at a time, splitting ties further) and compares neighbours: a suffix
-   that a smaller shard holds is covered.
+1. Texts go to shards by the hash of their ids. Each shard sends its distinct runs, as hashes of token and bytes with the
+   smallest id that has the run, to buckets: ranges of leading tokens between sampled splitters. A bucket sorts its runs
+   and compares neighbours: equal runs are covered in all shards but the one of the smallest id; tokens with different
+   runs in different shards are undecided.
+2. Shards send the bytes of undecided runs, each from the shard of its smallest id alone. A bucket sorts all their
+   suffixes of LENGTH bytes by multikey quicksort (eight bytes at a time, splitting ties further) and compares
+   neighbours: a suffix that a run of a smaller id holds is covered. A token with more than HOT undecided runs is split:
+   its suffixes go, one by one, to buckets by their own hash, so no bucket takes all that stands around a common word.
 3. In its shard a run is covered if an earlier document has it, and undecided runs are sorted as in 2.
 
-Equal tokens never lie in two buckets, so no comparison crosses a bucket's boundary, and as only distinct runs leave a
+Equal suffixes never lie in two buckets, so no comparison crosses a bucket's boundary, and as only distinct runs leave a
 shard, a passage that stands in a third of all documents is a few rows a shard. Three passes shuffle the texts; only
-hashes and undecided runs move besides.
+hashes and undecided runs move besides. A task takes its shards, and a bucket its parts, one after another, so memory is
+bounded by one of them, and tasks and splitters by constants, however large the table is.
+
+Equal runs are taken as equal by 48 bits of the token's hash and 48 of the bytes': among M different runs some two are
+mistaken for one another with a probability of M**2 / 2**97, 3 in 10**11 for 30 GB of texts and 3 in 10,000 for 100 TB.
 
 Null texts are empty, texts under LENGTH bytes keep all. Null ids count as larger than all others. Rows of equal ids are no
 sources for one another. Empty tables give no rows. Other columns stay; result columns replace columns of the same names.
@@ -25,6 +30,8 @@ sources for one another. Empty tables give no rows. Other columns stay; result c
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import _powers, bucket_bounds, bucket_of, claim, mix, partitions, ready, staged, steps, trim, utf8
+from .common import _powers, claim, mix, partitions, ready, staged, steps, trim, utf8
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a shard.
 SHARD_BYTES = 4 << 20
+#: Bytes of text whose runs make a bucket or, beyond BUCKETS of these, one of its parts.
+BUCKET_BYTES = 32 << 20
+#: Tasks over shards, and buckets, at most.
+TASKS, BUCKETS = 16_384, 4096
+#: Undecided runs of a token beyond which its suffixes are dealt out one by one.
+HOT = 4096
 #: One text in so many gives leading tokens for the splitters.
 SAMPLE = 64
 _LAST = (1 << 63) - 1
@@ -184,15 +197,16 @@ class _Shard:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.notes: list[dict] = []
         self.rank = -1
-        self.key: int | None = None
+        self.ids: list[int] = []
         self.size = 0
 
     def add(self, batch: pa.RecordBatch, key: int, text: int) -> None:
         data, ends = utf8(batch.column(text))
         ranks = np.empty(batch.num_rows, "int64")
         for i, k in enumerate(batch.column(key).to_pylist()):
-            if self.rank < 0 or k != self.key:
-                self.rank, self.key = self.rank + 1, k
+            if self.rank < 0 or k != self.ids[-1]:
+                self.rank += 1
+                self.ids.append(k)
             ranks[i] = self.rank
         for a, b in steps(ends):
             row, begin, count, token, content = runs(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], self.length)
@@ -215,6 +229,8 @@ class _Shard:
         self.kind = np.empty(len(order), "int64")
         self.kind[order] = np.cumsum(~same) - 1
         self.keys = _pairs(self.token[self.first], self.content[self.first])
+        #: The smallest id that has each distinct run.
+        self.least = np.array(self.ids, "int64")[self.rank_of[self.first]] if len(order) else np.zeros(0, "int64")
 
     def find(self, token: np.ndarray, content: np.ndarray) -> np.ndarray:
         """Places among the distinct runs."""
@@ -225,13 +241,40 @@ def _numbers(notes: list[dict], field: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, "uint64"), *(_unsix(x[field]) for x in notes if x[field])])
 
 
-def _bucketed(token: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    where = np.searchsorted(splitters, token, side="right")
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, most of which are zero and take no space when compressed."""
+    return np.ascontiguousarray(x.astype("<i8").view("uint8").reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "uint8").reshape(8, -1).T).view("<i8").ravel()
+
+
+def _bucketed(token: np.ndarray, splitters: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Places of tokens by bucket and part of it."""
+    where = np.searchsorted(splitters, token, side="right") * parts + (mix(token) % np.uint64(parts)).astype("int64")
+    yield from ((k // parts, k % parts, rows) for k, rows in _grouped(where))
+
+
+def _grouped(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(len(splitters) + 2))
-    for k in range(len(splitters) + 1):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    cuts = np.flatnonzero(np.diff(where[order])) + 1
+    for rows in np.split(order, cuts) if len(order) else ():
+        yield int(where[rows[0]]), rows
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one part of a bucket at a time; they come sorted by bucket and part."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if now != (row["bucket"], row["part"]):
+                if rows:
+                    yield rows
+                now, rows = (row["bucket"], row["part"]), []
+            rows.append(row)
+    if rows:
+        yield rows
 
 
 def _splitters(given: DataFrame, n: int, length: int) -> np.ndarray:
@@ -264,102 +307,130 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     # a shard's texts and runs are held in memory, some thirty bytes for one of text
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
     n = max(partitions(spark), -(-size // SHARD_BYTES))
-    bounds = bucket_bounds(docs, key, n)
+    tasks = min(n, max(TASKS, partitions(spark)))
+    wanted = max(partitions(spark), -(-size // BUCKET_BYTES))
     made = ["n_bytes", "spans"] + ["kept"] * (not in_place)
     kept_columns = [c for c in docs.columns if c not in made]
     rest = [c for c in kept_columns if c != text]
     ident = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
-    given = docs.select(ident.alias("k"), F.col(text).cast("string").alias("t"), F.struct(*rest, F.lit(None).cast("boolean").alias("_")).alias("r")).withColumn("shard", bucket_of("k", bounds))
-    splitters = _splitters(given, partitions(spark), length)
+    given = docs.select(ident.alias("k"), F.col(text).cast("string").alias("t"), F.struct(*rest, F.lit(None).cast("boolean").alias("_")).alias("r")).withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
+    splitters = _splitters(given, min(wanted, max(BUCKETS, partitions(spark))), length)
     buckets = len(splitters) + 1
+    parts_of = -(-wanted // max(BUCKETS, buckets))
 
     def shards(notes: DataFrame | None, columns: list[str]) -> DataFrame:
-        """Rows of a shard lie in one partition: first what buckets say, then texts by id."""
+        """Rows of a shard follow one another in one partition: first what buckets say, then texts by id."""
         rows = given.select("shard", F.lit(1).alias("kind"), "k", *columns)
         if notes is not None:
             rows = rows.unionByName(notes.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-        return rows.repartitionById(max(n, len(bounds) + 1), F.col("shard")).sortWithinPartitions("kind", "k", "t")
+        return rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "kind", "k", "t")
 
-    def load(batches: Iterator[pa.RecordBatch]) -> tuple[_Shard, int]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Shard, int]]:
+        """A task's shards, one after another."""
         claim("suffix_dedup")
-        shard, number = _Shard(length), -1
+        shard, now = _Shard(length), -1
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            number = batch.column(0)[0].as_py()
-            kinds = np.array(batch.column(1).to_pylist())
-            split = int((kinds == 0).sum())
-            if split:
-                shard.notes += batch.slice(0, split).to_pylist()
-            if split < batch.num_rows:
-                shard.add(batch.slice(split), 2, 3)
-        shard.settle()
+            numbers = batch.column(0).to_numpy()
+            for first, last in itertools.pairwise([0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)] if len(numbers) else []):
+                if now != numbers[first]:
+                    if now >= 0:
+                        shard.settle()
+                        yield shard, now
+                        shard = _Shard(length)
+                        trim()
+                    now = int(numbers[first])
+                split = first + int((batch.column(1).to_numpy()[first:last] == 0).sum())
+                if first < split:
+                    shard.notes += batch.slice(first, split - first).to_pylist()
+                if split < last:
+                    shard.add(batch.slice(split, last - split), 2, 3)
+        if now >= 0:
+            shard.settle()
+            yield shard, now
+        del shard
         trim()
-        return shard, number
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = load(batches)
-        for b, rows in _bucketed(shard.keys["t"], splitters):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int32()), pa.array([_six(shard.keys["t"][rows])], pa.binary()), pa.array([_six(shard.keys["c"][rows])], pa.binary())], names=["bucket", "shard", "tokens", "contents"])
+        for shard, number in load(batches):
+            for b, p, rows in _bucketed(shard.keys["t"], splitters, parts_of):
+                yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (b, p, number)), *(pa.array([v], pa.binary()) for v in (_six(shard.keys["t"][rows]), _six(shard.keys["c"][rows]), _planes(shard.least[rows])))], names=["bucket", "part", "shard", "tokens", "contents", "least"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in batch.to_pylist()]
-        if not got:
-            return
-        t = np.concatenate([_unsix(r["tokens"]) for r in got])
-        c = np.concatenate([_unsix(r["contents"]) for r in got])
-        s = np.repeat(np.array([r["shard"] for r in got]), [len(r["tokens"]) // 6 for r in got])
-        order = np.lexsort((s, c, t))
-        t, c, s = t[order], c[order], s[order]
-        new_t = np.r_[True, t[1:] != t[:-1]]
-        new_c = new_t | np.r_[True, c[1:] != c[:-1]]
-        group = np.cumsum(new_t) - 1
-        different = np.bincount(group, new_c)
-        apart = np.minimum.reduceat(s, np.flatnonzero(new_t)) != np.maximum.reduceat(s, np.flatnonzero(new_t))
-        undecided = new_c & ((different > 1) & apart)[group]
-        for number in np.unique(s):
-            mine = s == number
-            yield _note(number, (t, c), mine & ~new_c, mine & undecided)
-
-    def _note(number: int, x: tuple[np.ndarray, np.ndarray], covered: np.ndarray, ask: np.ndarray) -> pa.RecordBatch:
-        row = [number, _six(x[0][covered]), _six(x[1][covered]), _six(x[0][ask]), _six(x[1][ask])]
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([v], pa.binary()) for v in row[1:])], names=["shard", "covered_t", "covered_c", "ask_t", "ask_c"])
-
-    sent = shards(None, ["t"]).mapInArrow(send, "bucket int, shard int, tokens binary, contents binary")
-    notes, _ = staged(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(compare, "shard int, covered_t binary, covered_c binary, ask_t binary, ask_c binary"), "covered")
+        for got in _parts(batches):
+            t = np.concatenate([_unsix(r["tokens"]) for r in got])
+            c = np.concatenate([_unsix(r["contents"]) for r in got])
+            k = np.concatenate([_unplanes(r["least"]) for r in got])
+            s = np.repeat(np.array([r["shard"] for r in got]), [len(r["tokens"]) // 6 for r in got])
+            order = np.lexsort((k, c, t))
+            t, c, s = t[order], c[order], s[order]
+            new_t = np.r_[True, t[1:] != t[:-1]]
+            new_c = new_t | np.r_[True, c[1:] != c[:-1]]
+            group = np.cumsum(new_t) - 1
+            different = np.bincount(group, new_c)
+            apart = np.minimum.reduceat(s, np.flatnonzero(new_t)) != np.maximum.reduceat(s, np.flatnonzero(new_t))
+            undecided = new_c & ((different > 1) & apart)[group]
+            hot = (different > HOT)[group]
+            for number, mine in _grouped(s):
+                yield _note(number, t[mine], c[mine], ~new_c[mine], undecided[mine] & ~hot[mine], undecided[mine] & hot[mine])
+
+    told = ("covered", "ask", "hot")
+
+    def _note(number: int, t: np.ndarray, c: np.ndarray, *which: np.ndarray) -> pa.RecordBatch:
+        row = [_six(x[w]) for w in which for x in (t, c)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in row)], names=["shard", *(f"{n}_{x}" for n in told for x in "tc")])
+
+    def to_buckets(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "part")
+
+    sent = shards(None, ["t"]).mapInArrow(send, "bucket int, part int, shard int, tokens binary, contents binary, least binary")
+    notes, _ = staged(to_buckets(sent).mapInArrow(compare, "shard int, " + ", ".join(f"{n}_{x} binary" for n in told for x in "tc")), "covered")
 
     def send_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number = load(batches)
-        asked = shard.find(_numbers(shard.notes, "ask_t"), _numbers(shard.notes, "ask_c"))
-        for b, rows in _bucketed(shard.keys["t"][asked], splitters):
-            one = shard.first[asked[rows]]
-            blob = b"".join(shard.blob[x : x + m + length - 1].tobytes() for x, m in zip(shard.begin[one].tolist(), shard.count[one].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in (_six(shard.token[one]), _six(shard.content[one]), shard.count[one].astype("<u4").tobytes(), blob))], names=["bucket", "shard", "tokens", "contents", "counts", "blob"])
+        for shard, number in load(batches):
+            asked = shard.find(_numbers(shard.notes, "ask_t"), _numbers(shard.notes, "ask_c"))
+            for b, p, rows in _bucketed(shard.keys["t"][asked], splitters, parts_of):
+                one = shard.first[asked[rows]]
+                blob = b"".join(shard.blob[x : x + m + length - 1].tobytes() for x, m in zip(shard.begin[one].tolist(), shard.count[one].tolist()))
+                yield _bytes(b, p, number, shard, asked[rows], shard.count[one], np.zeros(len(one)), blob)
+            hot = shard.find(_numbers(shard.notes, "hot_t"), _numbers(shard.notes, "hot_c"))
+            if len(hot):
+                one = shard.first[hot]
+                strings, of, at = suffixes(shard.blob, shard.begin[one], shard.count[one], length)
+                own = np.array([zlib.crc32(x.tobytes()) for x in strings], "int64") % (buckets * parts_of)
+                for k, rows in _grouped(own):
+                    yield _bytes(k // parts_of, k % parts_of, number, shard, hot[of[rows]], np.ones(len(rows)), at[rows], strings[rows].tobytes())
+
+    def _bytes(b: int, p: int, number: int, shard: _Shard, kinds: np.ndarray, count: np.ndarray, at: np.ndarray, blob: bytes) -> pa.RecordBatch:
+        row = [_six(shard.keys["t"][kinds]), _six(shard.keys["c"][kinds]), _planes(shard.least[kinds]), count.astype("<u4").tobytes(), at.astype("<u4").tobytes(), blob]
+        return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (b, p, number)), *(pa.array([v], pa.binary()) for v in row)], names=["bucket", "part", "shard", "tokens", "contents", "least", "counts", "at", "blob"])
 
     def compare_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in batch.to_pylist()]
-        if not got:
-            return
-        t = np.concatenate([_unsix(r["tokens"]) for r in got])
-        c = np.concatenate([_unsix(r["contents"]) for r in got])
-        count = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in got]).astype("int64")
-        blob = np.frombuffer(b"".join(r["blob"] for r in got), "uint8")
-        s = np.repeat(np.array([r["shard"] for r in got]), [len(r["tokens"]) // 6 for r in got])
-        size = count + length - 1
-        hit = covered_suffixes(blob, np.cumsum(size) - size, count, s, t, length)
-        place = np.concatenate([[0], np.cumsum(count)])
-        any_ = np.add.reduceat(hit, place[:-1]) > 0
-        for number in np.unique(s[any_]):
-            mine = np.flatnonzero(any_ & (s == number))
-            bits = np.concatenate([hit[place[i] : place[i + 1]] for i in mine])
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in (_six(t[mine]), _six(c[mine]), np.packbits(bits).tobytes()))], names=["shard", "part_t", "part_c", "part_bits"])
-
-    asking = shards(notes.select("shard", "ask_t", "ask_c"), ["t"]).select("shard", "kind", "k", "t", "ask_t", "ask_c")
-    parts, _ = staged(asking.mapInArrow(send_bytes, "bucket int, shard int, tokens binary, contents binary, counts binary, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(compare_bytes, "shard int, part_t binary, part_c binary, part_bits binary"), "parts")
+        for got in _parts(batches):
+            t = np.concatenate([_unsix(r["tokens"]) for r in got])
+            c = np.concatenate([_unsix(r["contents"]) for r in got])
+            k = np.concatenate([_unplanes(r["least"]) for r in got])
+            count = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in got]).astype("int64")
+            at = np.concatenate([np.frombuffer(r["at"], "<u4") for r in got])
+            blob = np.frombuffer(b"".join(r["blob"] for r in got), "uint8")
+            s = np.repeat(np.array([r["shard"] for r in got]), [len(r["tokens"]) // 6 for r in got])
+            size = count + length - 1
+            hit = covered_suffixes(blob, np.cumsum(size) - size, count, k, t, length)
+            # the strings that are covered: their run, place in it, and shard
+            run = np.repeat(np.arange(len(count)), count)[hit]
+            place = (np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count))[hit] + at[run]
+            for number, mine in _grouped(s[run]):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in (_six(t[run[mine]]), _six(c[run[mine]]), place[mine].astype("<u4").tobytes()))], names=["shard", "part_t", "part_c", "part_at"])
+
+    asking = shards(notes.select("shard", "ask_t", "ask_c", "hot_t", "hot_c"), ["t"]).select("shard", "kind", "k", "t", "ask_t", "ask_c", "hot_t", "hot_c")
+    sent = asking.mapInArrow(send_bytes, "bucket int, part int, shard int, tokens binary, contents binary, least binary, counts binary, at binary, blob binary")
+    parts, _ = staged(to_buckets(sent).mapInArrow(compare_bytes, "shard int, part_t binary, part_c binary, part_at binary"), "parts")
     schema = StructType([*docs.select(*kept_columns).withColumn(text, F.col(text).cast("string")).schema.fields, StructField("n_bytes", LongType()), StructField("spans", ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())])))] + [StructField("kept", BinaryType())] * (not in_place))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, _ = load(batches)
+        for shard, _ in load(batches):
+            yield from cut_shard(shard)
+
+    def cut_shard(shard: _Shard) -> Iterator[pa.RecordBatch]:
         strings = np.zeros(shard.size + 1, "int32")  # changes of the number of covered strings that start so far
         first_rank = shard.rank_of[shard.first]
         known = np.zeros(len(shard.first), bool)
@@ -367,32 +438,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         whole = known[shard.kind] | (shard.rank_of > first_rank[shard.kind])
         np.add.at(strings, shard.begin[whole], 1)
         np.add.at(strings, shard.begin[whole] + shard.count[whole], -1)
-        # runs decided string by string: by other shards ...
-        single = np.zeros(shard.size, bool)
-
-        def mark(kinds: np.ndarray, hit: np.ndarray) -> None:
-            """hit tells for the strings of these distinct runs, in order, which are covered in every document that has the run."""
-            counts = shard.count[shard.first[kinds]]
-            starts = np.cumsum(counts) - counts
-            where = np.full(len(shard.first), -1)
-            where[kinds] = np.arange(len(kinds))
-            mine = np.flatnonzero((where[shard.kind] >= 0) & ~whole)
-            n_ = shard.count[mine]
-            at = np.arange(int(n_.sum())) - np.repeat(np.cumsum(n_) - n_, n_)
-            ok = hit[np.repeat(starts[where[shard.kind[mine]]], n_) + at]
-            single[(np.repeat(shard.begin[mine], n_) + at)[ok]] = True
-
-        for note in shard.notes:
-            if note["part_t"]:
-                kinds = shard.find(_unsix(note["part_t"]), _unsix(note["part_c"]))
-                total = int(shard.count[shard.first[kinds]].sum())
-                mark(kinds, np.unpackbits(np.frombuffer(note["part_bits"], "uint8"), count=total).astype(bool))
-        # ... and here: tokens with several runs
+        # runs decided string by string, in every document that has them: here, where a token has several runs ...
         token = shard.keys["t"]
-        several = np.flatnonzero(np.r_[False, token[1:] == token[:-1]] | np.r_[token[1:] == token[:-1], False]) if len(token) else np.zeros(0, "int64")
-        if len(several):
-            one = shard.first[several]
-            mark(several, covered_suffixes(shard.blob, shard.begin[one], shard.count[one], first_rank[several], token[several], length))
+        same = token[1:] == token[:-1]
+        several = np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(token) else np.zeros(0, "int64")
+        one = shard.first[several]
+        hit = covered_suffixes(shard.blob, shard.begin[one], shard.count[one], first_rank[several], token[several], length)
+        run = np.repeat(several, shard.count[one])
+        at = np.arange(len(run)) - np.repeat(np.cumsum(shard.count[one]) - shard.count[one], shard.count[one])
+        # ... and by other shards
+        told_at = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x["part_at"], "<u4") for x in shard.notes if x["part_at"])])
+        run = np.concatenate([run[hit], shard.find(_numbers(shard.notes, "part_t"), _numbers(shard.notes, "part_c"))])
+        at = np.concatenate([at[hit], told_at.astype("int64")])
+        by_kind = np.argsort(shard.kind, kind="stable")
+        starts = np.searchsorted(shard.kind[by_kind], np.arange(len(shard.first) + 1))
+        many = starts[run + 1] - starts[run]
+        place = np.repeat(starts[run] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        single = np.zeros(shard.size, bool)
+        single[shard.begin[by_kind[place]] + np.repeat(at, many)] = True
         single |= np.cumsum(strings, dtype="int32")[:-1] > 0
         del strings
         before = np.zeros(length + len(single), "int32")
@@ -416,11 +479,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = [texts if c == text else own.field(rest.index(c)) for c in kept_columns]
             made_ = [pa.array(np.diff(np.array(ends))), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())][: len(made)]
             yield pa.RecordBatch.from_arrays([*columns, *made_], names=schema.names)
-        del shard
-        trim()
 
-    told = notes.select("shard", "covered_t", "covered_c").unionByName(parts, allowMissingColumns=True)
-    rows = shards(told, ["t", "r"]).select("shard", "kind", "k", "t", "r", "covered_t", "covered_c", "part_t", "part_c", "part_bits")
+    told_all = notes.select("shard", "covered_t", "covered_c").unionByName(parts, allowMissingColumns=True)
+    rows = shards(told_all, ["t", "r"]).select("shard", "kind", "k", "t", "r", "covered_t", "covered_c", "part_t", "part_c", "part_at")
     return rows.mapInArrow(cut, schema)
 
 

@@ -7,16 +7,18 @@ begin at a cautious log-odds of their bucket between the classes, so a few thous
 further with the filters.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows outside the held-out fold, the ones with the smallest hash
-of their id; the score uses the text alone. Thresholds are calibrated for each language on a quarter of these rows,
+of their id, as far as their texts together stay within TRAIN_BYTES; the score uses the text alone. One task of an
+executor fits it, so the driver holds the weights alone (8 MB). Thresholds are calibrated for each language on a quarter of these rows,
 with the threshold of all languages where a language has few. Scoring is one pass over the texts.
 
 A null or wordless text has the score of no words. Labels that are null are not used; a doc_id labelled twice counts as
-toxic if any label says so. Without labelled rows of both classes all scores are 0 and nothing is rejected. Each of
+toxic if any label says so, and of different texts of one doc_id the smallest is the one to train on. Without labelled rows of both classes all scores are 0 and nothing is rejected. Each of
 repeated rows is scored alike. Other columns stay; result columns replace columns of the same names.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,10 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import _LOWER, claim, mix, ready, steps, trim, utf8, _powers
+from .common import _LOWER, _powers, claim, mix, ready, settle, steps, trim, utf8
 
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 5000
+#: Bytes of text that the classifier is fitted on, at most: a text that would go beyond is left out.
+TRAIN_BYTES = 24 << 20
 BUCKETS, WIDTH, FILTERS, PARTS = 1 << 18, 8, 4, 8
 SPANS = (1, 2, 3)
 #: First bytes of a word that are hashed besides the whole word.
@@ -136,8 +140,17 @@ def _log_odds(parts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], toxic: np.ndarray, langs: list[str], check: np.ndarray, seed: int = 7) -> Net:
     """Train on the rows outside check, calibrate thresholds on those in check."""
+    return _fit([words_of(t) for t in texts], toxic, langs, check, seed)
+
+
+def words_of(text: str) -> np.ndarray:
+    data = text.encode()
+    return features(np.frombuffer(data, "uint8"), np.array([0, len(data)]))[0]
+
+
+def _fit(parts: list[np.ndarray], toxic: np.ndarray, langs: list[str], check: np.ndarray, seed: int = 7) -> Net:
+    """``fit`` on the words of the texts."""
     rng = np.random.default_rng(seed)
-    parts = [features(np.frombuffer(b, "uint8"), np.array([0, len(b)]))[0] for b in (t.encode() for t in texts)]
     own = np.flatnonzero(~check)
     toxic = toxic.astype(bool)
     if not toxic[own].any() or toxic[own].all():
@@ -234,9 +247,30 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # narrow rows: an id and a label, TRAIN_ROWS of them at most
     chosen = marked.orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
     language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), language.alias("l")).join(F.broadcast(chosen), "k").groupBy("k").agg(F.first("t").alias("t"), F.first("l").alias("l"), F.max("y").alias("y")).toPandas().sort_values("k")
-    check = np.array([zlib.crc32(f"c{k}".encode()) % 4 == 0 for k in rows.k], dtype=bool)
-    return fit(list(rows.t), rows.y.to_numpy("int64") if len(rows) else np.zeros(0, "int64"), [x or "" for x in rows.l], check)
+    given = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), language.alias("l")).join(F.broadcast(chosen), "k")
+    rows = given.groupBy("k").agg(F.min(F.struct("t", "l")).alias("d"), F.max("y").alias("y")).select(F.col("k").cast("string"), "d.t", F.coalesce("d.l", F.lit("")).alias("l"), "y", F.xxhash64("k").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
+        parts, toxic, langs, check, size = [], [], [], [], 0
+        for batch in batches:
+            for k, t, l, y in zip(*(c.to_pylist() for c in batch.columns[:4])):
+                if size + len(t.encode()) > TRAIN_BYTES:
+                    continue
+                size += len(t.encode())
+                parts.append(words_of(t))
+                toxic.append(y)
+                langs.append(l)
+                check.append(zlib.crc32(f"c{k}".encode()) % 4 == 0)
+        net = _fit(parts, np.array(toxic, "int64"), langs, np.array(check, bool))
+        parts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+        trim()
+
+    ready(docs.sparkSession)
+    found = rows.coalesce(1).sortWithinPartitions("h", "k").mapInArrow(run, "net binary").collect()
+    settle(docs.sparkSession)
+    return pickle.loads(found[0]["net"]) if found else _fit([], np.zeros(0, "int64"), [], np.zeros(0, bool))
 
 
 def toxicity(docs: DataFrame, net: Net, text: str = "text") -> DataFrame:

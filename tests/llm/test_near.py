@@ -77,8 +77,8 @@ def test_a_large_family_is_dealt_to_blocks(docs, monkeypatch):
 def test_copies_whose_buckets_begin_with_other_documents(docs, monkeypatch):
     from sheaf.llm import minhash
 
-    # bands of one row and a high CHANCE: every band of the two copies has a smaller member that holds their line by chance
-    for name, value in (("BANDS", 160), ("ROWS", 1), ("CHANCE", 0.8)):
+    # bands of one row: every band of the two copies has smaller members that hold their line by chance
+    for name, value in (("BANDS", 160), ("ROWS", 1), ("PART", 64)):
         monkeypatch.setattr(minhash, name, value)
     r = random.Random(5)
     line = " ".join(f"l{i}" for i in range(32))
@@ -87,6 +87,49 @@ def test_copies_whose_buckets_begin_with_other_documents(docs, monkeypatch):
     assert [got[i] for i in range(402)] == [*range(401), 400]
 
 
+def test_ties_connect_what_is_near():
+    from sheaf.llm.minhash import _unequal, ties_of
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (6, 5)).astype("uint64")
+    bits = np.repeat(base, 30, axis=0)
+    for row in bits:
+        for _ in range(8):
+            row[r.integers(5)] ^= np.uint64(1) << np.uint64(r.integers(63))
+    found = ties_of(np.arange(180), bits, 16)
+    top = list(range(180))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in found:
+        assert _unequal(bits[a], bits[b : b + 1])[0] <= 16
+        x, y = root(a), root(b)
+        top[max(x, y)] = min(x, y)
+    assert all(root(a) == root(b) for a in range(180) for b in np.flatnonzero(_unequal(bits[a], bits) <= 16).tolist())
+    assert len(found) == 180 - len({root(i) for i in range(180)})
+
+
+def test_boilerplate_makes_no_candidates(docs, monkeypatch):
+    """Texts that share half their words fill the same buckets, but none is compared on its full set."""
+    from sheaf.llm import minhash
+
+    asked = []
+    blocks = minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda members, *rest: asked.append(members.count()) or blocks(members, *rest))
+    monkeypatch.setattr(minhash, "PART", 16)
+    r = random.Random(6)
+    notice = " ".join(f"n{i}" for i in range(60))
+    texts = [f"{notice} " + " ".join(f"h{r.randint(0, 10**9)}" for _ in range(60)) for _ in range(300)]
+    texts += [texts[7] + " more", texts[8].replace("n30", "other")]
+    want, _ = brute(texts, 3, 85)
+    got = {row["id"]: row["component"] for row in near_duplicates(docs(texts)).collect()}
+    assert [got[i] for i in range(302)] == want and want[300:] == [7, 8]
+    assert asked == [4]
+
+
 def test_near_odd_rows(odd_docs, none_docs):
     rows = near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.llm import suffix_dedup
 from sheaf.llm.suffix_dedup import LENGTH, multikey_order, remove_repeats
 
 
@@ -28,8 +29,11 @@ def brute(texts, ids, length=LENGTH):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_against_brute_force(spark, docs, seed):
+@pytest.mark.parametrize("seed,limits", [(0, {}), (1, {"HOT": 2}), (2, {"HOT": 0, "SHARD_BYTES": 64, "TASKS": 3}), (3, {"BUCKET_BYTES": 64, "BUCKETS": 2, "HOT": 3, "SHARD_BYTES": 200, "TASKS": 1})])
+def test_against_brute_force(spark, docs, monkeypatch, seed, limits):
+    """Also with shards and parts of buckets that share tasks, and with hot tokens."""
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
     r = random.Random(seed)
     base = ["".join(r.choice("ab é\n") for _ in range(r.randint(1, 300))) for _ in range(6)]
     passage = "".join(r.choice("abcdefgh ") for _ in range(120))

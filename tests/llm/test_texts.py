@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -108,6 +109,47 @@ def test_main_text_without_marks_is_whole():
     assert line_blocks.main_text(f"<p>One.</p>{links}<p>Two, longer.</p>") == "Two, longer."
 
 
+def test_article_keeps_its_heading_captions_and_links():
+    long = "This paragraph is long enough to be text, and it goes on for some more words than that."
+    page = f"<nav><a href=/>Home</a></nav><article class=post><header class='post-header'><h1 class='entry-header'>Title</h1></header><p>{long}</p><figure><img><figcaption>A caption</figcaption></figure><math>x = 1</math><p><a href=/s>Source</a></p></article><p>Outside.</p>"
+    assert line_blocks.main_text(page).split("\n") == ["Title", long, "A caption", "x = 1", "Source"]
+    teasers = "".join(f"<article><a href=/{i}>Teaser {i} with a title of some length</a></article>" for i in range(5))
+    assert line_blocks.main_text(f"<article><p>{long}</p></article><p>Outside.</p>{teasers}") == long
+    # the distribution decides on marked pages too: what is heavy enough outside the element is text
+    assert line_blocks.main_text(f"<article><p>{long}</p></article><div><p>{long * 9}</p></div>") == f"{long}\n{long * 9}"
+    assert line_blocks.main_text(f"<div><p>{long}<a href=/x>never closed</p><p>{long}</p></div>") == f"{long}never closed\n{long}"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_main_text_of_pages_built_from_known_text(spark, seed):
+    """Pages whose main text is known by the way they are built, marked and unmarked, with apart blocks at any place."""
+    r = random.Random(seed)
+    rows, want = [], []
+    for i in range(40):
+        word = lambda: "".join(r.choice("abcdefghijklmnop é") for _ in range(r.randint(2, 9))).strip() or "x"
+        blocks = [" ".join(" ".join(word() for _ in range(r.randint(20, 60))).split()) + " & more." for _ in range(r.randint(2, 9))]
+        noise = ["<div class='ad'><p>Buy now</p><p>or never</p><p>at all</p></div>", "<aside>See also this and that</aside>", "<form><p>Your name</p><input></form>", "<script>var a = '<p>no</p>';</script>", "<section id=comments><p>I do not agree at all with what was said up there, and I say so at length.</p></section>", "<!-- <p>gone</p> -->", "<ul class=menu><li><a href=/>One</a><li><a href=/>Two</a></ul>"]
+        body = ""
+        for b in blocks:
+            tag = r.choice(("p", "h2", "blockquote", "p"))
+            inner = b.replace("&", "&amp;").replace(" ", r.choice((" ", "  \n", "\t ")), 1)
+            body += f"<{tag}>{inner}" + ("" if tag == "p" and r.random() < 0.4 else f"</{tag}>") + (r.choice(noise) if r.random() < 0.5 else "")
+        box = r.choice(("article", "main", "div"))
+        head = "<nav><ul>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(5)) + "</ul></nav>"
+        rows.append((i, f"u{i}", f"<html><head><title>t</title><style>p {{}}</style></head><body>{head}<header><p>Site name and motto</p></header><{box}>{body}</{box}><footer>Imprint, and all rights that are reserved by whoever has them, which goes on for a while.</footer></body></html>"))
+        want.append("\n".join(blocks))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in line_blocks.main_texts(pages).collect()}
+    assert [got[i] for i in range(40)] == want
+
+
+def test_pages_with_very_long_texts_ties_and_clashing_columns(spark):
+    long = "word " * 400_000
+    rows = [(1, "u", f"<article><p>{long}</p></article>", 7, "x"), (1, "v", "<p>tie</p>", 8, "y"), (2, "u", None, None, None)]
+    got = line_blocks.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string")).collect()
+    assert [(r["page_id"], r["url"], len(r["text"]), r["n_chars"]) for r in got] == [(1, "u", 1_999_999, 7), (1, "v", 3, 8), (2, "u", 0, None)]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<a href='x", "<!-- x", "<script>alert(1)", "&", "</p></div>", "<p>" * 3000])
 def test_broken_pages(page):
     line_blocks.main_text(page)
