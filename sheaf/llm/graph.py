@@ -13,11 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round a node takes the smallest of its label, its neighbours' labels and its label's label, until nothing
     changes, so chains shorten to half or less. Each round is a table in the shared folder; the last one stays.
-    Labels are two numbers a node, so they are kept in an eighth of the shuffle partitions.
+    Edges and labels are two numbers each, so they are kept in an eighth of the shuffle partitions.
     """
     spark = edges.sparkSession
-    both, both_path = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     parts = max(4, partitions(spark) // 8)
+    both, both_path = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().coalesce(parts), "edges")
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     labels, path = staged(first.coalesce(parts), "labels")
     while True:

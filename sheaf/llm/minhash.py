@@ -280,23 +280,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spark = docs.sparkSession
     prof, prof_path = staged(profiles(docs, key, text, k), "profiles")
     known = prof.where("id is not null and whole is not null")
-    classes, classes_path = staged(known.groupBy("whole").agg(F.min("id").alias("rep")), "classes")
+    # narrow tables are kept in few files
+    few = max(4, partitions(spark) // 8)
+    classes, classes_path = staged(known.groupBy("whole").agg(F.min("id").alias("rep")).coalesce(few), "classes")
     reps = known.join(classes, "whole").where("id = rep").dropDuplicates(["whole"]).select("id", "bands", "bits")
-    banded, banded_path = staged(reps, "representatives")
+    banded, banded_path = staged(reps.coalesce(few), "representatives")
     most = allowed(percent)
     rows = banded.select("id", F.explode("bands").alias("band"))
     firsts = rows.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "first", "m")
-    met, met_path = staged(rows.join(firsts, "band").where("id <> first"), "met")
+    met, met_path = staged(rows.join(firsts, "band").where("id <> first").coalesce(few), "met")
     bits = banded.select("id", "bits")
     pairs = met.select("id", "first").distinct().join(bits, "id").join(bits.select(F.col("id").alias("first"), F.col("bits").alias("other")), "first")
-    near, near_path = staged(pairs.where(unequal(F.col("bits"), F.col("other")) <= most).select(F.col("id").alias("a"), F.col("first").alias("b")), "near")
+    near, near_path = staged(pairs.where(unequal(F.col("bits"), F.col("other")) <= most).select(F.col("id").alias("a"), F.col("first").alias("b")).coalesce(few), "near")
     groups = components(near)
-    more, more_path = staged(_later_ties(met.where("m > 2").select("band", "id"), groups, bits, most), "ties")
+    more, more_path = staged(_later_ties(met.where("m > 2").select("band", "id"), groups, bits, most).coalesce(few), "ties")
     candidates = components(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     for path in (met_path, near_path, more_path):
         release(spark, path)
     members = candidates.select(F.col("node").alias("id"), F.col("label").alias("comp"))
-    links, links_path = staged(_blocks(members, docs, key, text, k, percent), "links")
+    links, links_path = staged(_blocks(members, docs, key, text, k, percent).coalesce(few), "links")
     labels = components(links)
     release(spark, banded_path)
     release(spark, links_path)
