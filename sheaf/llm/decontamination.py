@@ -8,23 +8,24 @@ items by block value, one-bit neighbours included, yields all items within the r
 the exact similarity of the two bags, each shingle weighted by how often it stands there: sum of the smaller counts
 by sum of the larger ones.
 
-The items are read in parts of at most PART_BYTES of text, each of which goes to all tasks; a larger benchmark takes
-more passes. Null or wordless items and texts match nothing; repeated rows are matched each; equal items are all
+The items are read in parts of at most PART_BYTES of text, each of which goes to all workers, which index it once; the
+driver holds the text of one part. A larger benchmark takes a pass for each part, whose findings are written before the
+next part is read. Null or wordless items and texts match nothing; repeated rows are matched each; equal items are all
 reported. An empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import claim, ready, shingles, steps, trim, utf8, word_hashes
+from .common import claim, ready, shingles, staged, steps, trim, utf8, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BLOCKS = 10
@@ -174,26 +175,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     ready(docs.sparkSession)
     given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     schema = "doc_id long, item_id long, similarity double, begin_word long, end_word long"
-    found = [_search(given, Index([(r["i"], r["t"]) for r in rows], k, least), schema) for rows in _parts(benchmark, item, item_text)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+    found = None
+    for number, rows in enumerate(_parts(benchmark, item, item_text)):
+        if found is not None and number == 1:
+            found = staged(found, "contamination")[0]
+        part = _search(given, [(r["i"], r["t"]) for r in rows], k, least, schema)
+        found = part if found is None else found.union(staged(part, "contamination")[0])
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def _search(given: DataFrame, index: Index, schema: str) -> DataFrame:
+_INDEX: dict[str, Index] = {}
+
+
+def _index(name: str, rows: list[tuple[int | None, str | None]], k: int, least: float) -> Index:
+    """This worker's index of a part of the benchmark."""
+    claim("decontamination", _INDEX.clear)
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(rows, k, least)
+    return _INDEX[name]
+
+
+def _search(given: DataFrame, rows: list[tuple[int | None, str | None]], k: int, least: float, schema: str) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("decontamination")
+        index = _index(name, rows, k, least)
         for batch in batches:
             data, ends = utf8(batch.column(1))
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
             for a, b in steps(ends):
                 words, at = word_hashes(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                for k in index.known:
-                    hashes, of = shingles(words, at, k)
-                    hit = index.hits(k, hashes)
+                for j in index.known:
+                    hashes, of = shingles(words, at, j)
+                    hit = index.hits(j, hashes)
                     total = np.concatenate([[0], np.cumsum(hit)])
                     for row in np.flatnonzero(total[of[1:]] > total[of[:-1]]):
                         x, y = of[row], of[row + 1]
-                        best = index.matches(k, int(at[row + 1] - at[row]), hashes[x:y], hit[x:y])
+                        best = index.matches(j, int(at[row + 1] - at[row]), hashes[x:y], hit[x:y])
                         out += [(ids[a + row], i, *v) for i, v in best.items()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "similarity", "begin_word", "end_word"])

@@ -2,10 +2,11 @@
 
 Words are runs of ASCII letters, digits and bytes of other scripts, A-Z lower-cased. A first pass counts in how many
 texts each word of the licence templates stands. The second pass looks up, for each template whose mandatory words a
-text holds, the mandatory word of the highest inverse document frequency: each of its places names the place where the
-template would begin, and no other place can be one, as that word must stand there. A template whose mandatory phrases
-all stand at a beginning, with enough of its weight, gives its label. Base phrases give their own labels wherever
-their words stand consecutively.
+text holds, the RARE mandatory words of the highest inverse document frequency in the text's positional index. Each
+posting names the place where the template would begin; the postings of these words are intersected by that place, and
+no other place can be one, as all these words must stand there. A template whose mandatory phrases all stand at such a
+beginning, with at least SHARE of the weight of its words at their places, gives its label. Base phrases give their own
+labels wherever their words stand consecutively.
 
 A null or empty text has no words, no labels and score 0. Each of repeated rows is scanned. Other columns stay; result
 columns replace columns of the same names. Without texts nothing is counted and nothing returned.
@@ -63,10 +64,18 @@ TEMPLATES = (
     Template("cc0-1.0", "released under the cc0 1 0 universal public domain dedication", ("cc0 1 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "conditions are met")),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind", ("this permission notice shall be included", "without warranty of any kind")),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license version 2 0", "except in compliance with the license")),
+    Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "either version 3 of the license")),
+    Template("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "either version 2 of the license")),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name of", "used to endorse or promote products derived from this software")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software", "with or without fee is hereby granted")),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 #: Share of a template's weight that must lie at one beginning.
 SHARE = 0.6
+#: A template's rarest mandatory words whose postings are intersected.
+RARE = 3
 
 
 def words(text: bytes) -> list[bytes]:
@@ -74,7 +83,7 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' rarest mandatory words and weights of all their words."""
+    """The templates' rarest mandatory words with their places in the notices, and weights of all their words."""
 
     def __init__(self, texts: int, found_in: dict[bytes, int], templates: tuple[Template, ...] = TEMPLATES) -> None:
         self.templates = [(t, words(t.notice.encode()), []) for t in templates]
@@ -84,11 +93,11 @@ class Index:
                 p = words(phrase.encode())
                 must.append((next(i for i in range(len(notice)) if notice[i : i + len(p)] == p), p))
         self.weight = {w: math.log((1 + texts) / (1 + found_in.get(w, 0))) + 1e-6 for w in self.vocabulary}
-        #: By template: its mandatory words, the rarest of them and that word's place in the notice.
+        #: By template: its mandatory words, and the rarest of them with their places in the notice.
         self.rarest = []
         for _, _, must in self.templates:
-            at, w = max(((i + j, w) for i, p in must for j, w in enumerate(p)), key=lambda x: (self.weight[x[1]], x[1]))
-            self.rarest.append((frozenset(w for _, p in must for w in p), w, at))
+            needed = sorted({(i + j, w) for i, p in must for j, w in enumerate(p)}, key=lambda x: (-self.weight[x[1]], x))
+            self.rarest.append((frozenset(w for _, w in needed), needed[:RARE]))
         self.total = [sum(self.weight[w] for w in notice) for _, notice, _ in self.templates]
         self.base = [(words(p.encode()), label) for p, label in BASE.items()]
 
@@ -111,15 +120,17 @@ class Index:
                 if hits:
                     labels.add(label)
         spans, best = [], 0.0
-        # each place of a template's rarest mandatory word names a beginning
-        for k, begin in [(k, i - q) for k, (needed, w, q) in enumerate(self.rarest) if needed <= vocabulary for i in places[w]]:
-            template, notice, must = self.templates[k]
-            if any(found[begin + i : begin + i + len(p)] != p if begin + i >= 0 else True for i, p in must):
+        for (template, notice, must), (needed, rare), total in zip(self.templates, self.rarest, self.total):
+            if not needed <= vocabulary:
                 continue
-            share = sum(self.weight[w] for i, w in enumerate(notice) if 0 <= begin + i < len(found) and found[begin + i] == w) / self.total[k]
-            if share >= SHARE:
-                spans.append((template.label, max(begin, 0), min(begin + len(notice), len(found)), share))
-                best = max(best, share)
+            begins = set.intersection(*({i - q for i in places[w]} for q, w in rare))
+            for begin in begins:
+                if any(begin + i < 0 or found[begin + i : begin + i + len(p)] != p for i, p in must):
+                    continue
+                share = sum(self.weight[w] for i, w in enumerate(notice) if 0 <= begin + i < len(found) and found[begin + i] == w) / total
+                if share >= SHARE:
+                    spans.append((template.label, max(begin, 0), min(begin + len(notice), len(found)), share))
+                    best = max(best, share)
         method = {x[0] for x in spans}
         score = min(1.0, max(best, 0.5 if labels else 0.0))
         return len(found), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | method)), score, sorted(spans)

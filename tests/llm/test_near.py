@@ -162,7 +162,11 @@ def contaminated(texts, items, k=5, least=0.8):
     return out
 
 
-def test_contamination_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("part_bytes", [8 << 20, 600])
+def test_contamination_equals_brute_force(spark, docs, monkeypatch, part_bytes):
+    from sheaf.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
     r = random.Random(4)
     items = [" ".join(f"b{r.randint(0, 300)}" for _ in range(r.randint(1, 60))) for _ in range(25)] + ["", None, "the only words here now"]
     texts = []

@@ -34,6 +34,60 @@ def test_next_text_by_id(spark, docs):
         assert r["near_next"] == merkle.likeness(r["fingerprint"], rows[(i + 1) % 40]["fingerprint"])
 
 
+def own_pieces(text):
+    """Pieces of a text, written anew from the definition: words with the space after them, cut after words whose hash says so."""
+    import re
+    import zlib
+
+    out = []
+    for line in text.encode().split(b"\n"):
+        found = re.findall(rb"\S+\s*|\s+", line)
+        if len(text) < 160:
+            for w in found:
+                out += [w[i : i + 6] for i in range(0, len(w), 6)] if len(w) > 12 else [w]
+            continue
+        piece, n = b"", 0
+        for w in found:
+            if len(w) > 64:
+                out += [piece] * bool(piece) + [w[i : i + 32] for i in range(0, len(w), 32)]
+                piece, n = b"", 0
+                continue
+            piece, n = piece + w, n + 1
+            if n == 12 or n >= 3 and (zlib.crc32(w.rstrip()) * 2654435761 & 0xFFFFFFFF) % 6 == 0:
+                out.append(piece)
+                piece, n = b"", 0
+        out += [piece] * bool(piece)
+    return out
+
+
+def own_likeness(a, b):
+    """Bytes in common pieces, by trying all pairs of pieces."""
+    if a == b:
+        return 1.0
+    left, right = own_pieces(a), own_pieces(b)
+    total, common = sum(map(len, left)) + sum(map(len, right)), 0
+    for p in left:
+        if p in right:
+            right.remove(p)
+            common += len(p)
+    return 2 * common / total if total else 0.0
+
+
+def test_likeness_equals_brute_force_on_texts(spark, docs):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 90 if r.random() < 0.02 else 8)))
+    texts = ["".join(word() + r.choice((" ", " ", " ", "\n", "  ")) for _ in range(r.choice((0, 3, 20, 150)))) for _ in range(60)]
+    texts[10] = texts[11]
+    texts[20], texts[21] = "", ""
+    rows = {x["doc_id"]: x for x in merkle.compare_with_next(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        assert rows[i]["near_edited"] == pytest.approx(own_likeness(t, edited), abs=2e-6)
+        assert rows[i]["near_next"] == pytest.approx(own_likeness(t, following), abs=2e-6)
+        assert all((rows[i]["fingerprint"] == rows[j]["fingerprint"]) == (t == texts[j]) for j in rows)
+
+
 def test_merkle_odd_rows(odd_docs, none_docs, docs):
     assert merkle.compare_with_next(odd_docs).count() == odd_docs.count()
     assert merkle.compare_with_next(none_docs).count() == 0
