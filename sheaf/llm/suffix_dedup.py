@@ -19,7 +19,7 @@ sixteen bytes, and equal strings lie in runs of equal leading tokens.
 Equal suffixes never lie in two buckets, so no comparison crosses a bucket's boundary, and as only distinct runs leave a
 shard, a passage that stands in a third of all documents is a few rows a shard. Three passes shuffle the texts; only
 hashes and undecided runs move besides. A task takes its shards, and a bucket its parts, one after another, so memory is
-bounded by one of them, and tasks and splitters by constants, however large the table is.
+bounded by one of them, and the number of splitters by a constant, however large the table is.
 
 Equal runs are taken as equal by 48 bits of the token's hash and 48 of the bytes': among M different runs some two are
 mistaken for one another with a probability of M**2 / 2**97, 3 in 10**11 for 30 GB of texts and 3 in 10,000 for 100 TB.
@@ -47,8 +47,8 @@ LENGTH, GRAM = 50, 20
 SHARD_BYTES = 4 << 20
 #: Bytes of text whose runs make a bucket or, beyond BUCKETS of these, one of its parts.
 BUCKET_BYTES = 32 << 20
-#: Tasks over shards, and buckets, at most.
-TASKS, BUCKETS = 16_384, 4096
+#: Bytes of text whose shards follow one another in a task, and buckets at most.
+TASK_BYTES, BUCKETS = 32 << 20, 4096
 #: Undecided runs of a token beyond which its suffixes are dealt out one by one.
 HOT = 4096
 #: One text in so many gives leading tokens for the splitters.
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     # a shard's texts and runs are held in memory, some thirty bytes for one of text
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
     n = max(partitions(spark), -(-size // SHARD_BYTES))
-    tasks = min(n, max(TASKS, partitions(spark)))
+    tasks = max(partitions(spark), -(-size // TASK_BYTES))
     wanted = max(partitions(spark), -(-size // BUCKET_BYTES))
     made = ["n_bytes", "spans"] + ["kept"] * (not in_place)
     kept_columns = [c for c in docs.columns if c not in made]

@@ -29,7 +29,7 @@ def brute(texts, ids, length=LENGTH):
     return out
 
 
-@pytest.mark.parametrize("seed,limits", [(0, {}), (1, {"HOT": 2}), (2, {"HOT": 0, "SHARD_BYTES": 64, "TASKS": 3}), (3, {"BUCKET_BYTES": 64, "BUCKETS": 2, "HOT": 3, "SHARD_BYTES": 200, "TASKS": 1})])
+@pytest.mark.parametrize("seed,limits", [(0, {}), (1, {"HOT": 2}), (2, {"HOT": 0, "SHARD_BYTES": 64, "TASK_BYTES": 4000}), (3, {"BUCKET_BYTES": 64, "BUCKETS": 2, "HOT": 3, "SHARD_BYTES": 200})])
 def test_against_brute_force(spark, docs, monkeypatch, seed, limits):
     """Also with shards and parts of buckets that share tasks, and with hot tokens."""
     for name, value in limits.items():
