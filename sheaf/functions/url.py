@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urljoin as _join
 
 import pandas as pd
@@ -71,6 +72,120 @@ def fragment(u: Column) -> Column:
     return _part(u, r"#(.*)$")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that it names more than once, evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """A reference as an absolute URL: of its own scheme, of the page's host, path, folder or query; dot segments are resolved."""
+    root = F.concat(scheme(base), F.lit("://"), netloc(base))
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    whole = (
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(root, ref))
+        .when(ref.startswith("?"), F.concat(root, path(base), ref))
+        .when(ref.startswith("#"), F.concat(F.split_part(base, F.lit("#"), F.lit(1)), ref))
+        .otherwise(F.concat(root, folder, ref))
+    )
+
+    def undotted(u: Column) -> Column:
+        kept = F.aggregate(F.split(path(u), "/"), F.array().cast("array<string>"), lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(1)))).when(x == ".", s).otherwise(F.array_append(s, x)))
+        ends = F.when(path(u).rlike(r"/\.{1,2}$"), "/").otherwise("")
+        dotted = F.concat(F.regexp_extract(u, r"^([^:]*://[^/?#]*)", 1), F.array_join(kept, "/"), ends, F.regexp_extract(u, r"^[^?#]*(.*)$", 1))
+        return F.when(path(u).rlike(r"(?:^|/)\.{1,2}(?:/|$)"), dotted).otherwise(u)
+
+    return _let(whole, undotted)
+
+
+#: What a reference may not hold, and the characters that need no percent-encoding in paths and queries.
+UNSAFE = r"\\|[\x00-\x1f\x7f]"
+PATH_SAFE, QUERY_SAFE = r"[A-Za-z0-9/%:@!$&'()*+,;=._~-]", r"[A-Za-z0-9%=&?/:;+,@!$'()*._~\[\]-]"
+
+
+def _usable(ref: Column) -> Column:
+    return (F.trim(ref) != "") & ~template_marker(ref) & ~ref.rlike(UNSAFE)
+
+
+def _after_host(u: Column) -> Column:
+    return F.regexp_extract(u, r"^[^:]*://[^/?#]*(.*)$", 1)
+
+
+def _port(u: Column) -> Column:
+    return F.regexp_extract(netloc(u), r":(\d+)$", 1)
+
+
+def same_origin_url(base: Column, ref: Column, wanted: Column | None, keep_fragment: bool = False) -> Column:
+    """A link of the wanted origin (None: of any), sanitised; a plain http link of the same host is taken as https."""
+
+    def own(u: Column) -> Column:
+        if wanted is None:
+            return F.when(origin(u).isNotNull(), u)
+        upgradable = (scheme(u) == "http") & (scheme(wanted) == "https") & (host(u) == host(wanted)) & _port(u).isin("", "80") & ~netloc(u).contains("@")
+        return F.when(origin(u) == wanted, u).when(upgradable & (F.concat(F.lit("https://"), host(u)) == wanted), F.concat(F.lit("https://"), host(u), _after_host(u)))
+
+    def clean(u: Column) -> Column:
+        plain = _with_query(F.concat(scheme(u), F.lit("://"), netloc(u), F.when(path(u) == "", "/").otherwise(path(u))), query(u))
+        return F.when(fragment(u) != "", F.concat(plain, F.lit("#"), fragment(u))).otherwise(plain) if keep_fragment else plain
+
+    whole = F.when(_usable(ref), resolve(base, F.trim(ref)))
+    return _let(_let(whole, lambda u: F.when(~template_marker(u), own(u))), clean)
+
+
+def without_www(u: Column) -> Column:
+    return F.regexp_replace(host(u), r"^www\.", "")
+
+
+def dealer_url(base: Column, ref: Column, wanted: Column) -> Column:
+    """A link that a dealer's page may hint at: sanitised, of the dealer's host with or without www., http taken as https."""
+    folded = lambda u: F.regexp_replace(origin(u), r"//www\.", "//")
+    upgraded = lambda u: F.when((scheme(u) == "http") & (scheme(wanted) == "https") & _port(u).isin("", "80"), F.concat(F.lit("https://"), host(u), _after_host(u))).otherwise(u)
+    return _let(_let(same_origin_url(base, ref, None), upgraded), lambda u: F.when(folded(u) == folded(wanted), u))
+
+
+def _quoted(c: Column, safe: str) -> Column:
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(safe), x).otherwise(F.replace(encode(x), F.lit("+"), F.lit("%20")))), "")
+
+
+def safe_data_url(base: Column, ref: Column) -> Column:
+    """An http(s) URL of any host for data such as images, percent-encoded once; broken escapes and user information give none."""
+
+    def clean(u: Column) -> Column:
+        broken = F.concat(path(u), F.lit(" "), query(u)).rlike("%(?![0-9A-Fa-f]{2})")
+        good = scheme(u).isin("http", "https") & (host(u) != "") & ~netloc(u).contains("@") & ~broken & ~template_marker(u)
+        return F.when(good, _with_query(F.concat(scheme(u), F.lit("://"), netloc(u), _quoted(path(u), PATH_SAFE)), _quoted(query(u), QUERY_SAFE)))
+
+    return _let(F.when(_usable(ref), resolve(base, F.trim(ref))), clean)
+
+
+def url_list(values: Column) -> Column:
+    """URLs as a user lists them: trimmed, https where no scheme is given, each once in the order given."""
+    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    return F.array_distinct(F.transform(trimmed, lambda v: F.when(v.contains("://"), v).otherwise(F.concat(F.lit("https://"), v))))
+
+
+def stock_keys(values: Column) -> Column:
+    """Stock keys as URL tails spell them: decoded, in lower case, with a digit, each once and sorted."""
+    plain = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.lower(F.trim(decode(F.replace(v, F.lit("+"), F.lit("%2B"))))))
+    return F.array_sort(F.array_distinct(F.filter(plain, lambda k: k.rlike(r"^[a-z0-9][a-z0-9-]{2,23}$") & k.rlike(r"\d"))))
+
+
+#: Fixed value: query keys that say how a detail page is shown, not which vehicle it is of.
+PRESENTATION = ("finance_type", "payment_type")
+
+
+def same_advertised(requested: Column, advertised: Column) -> Column:
+    """Whether two detail identities (see normalize_detail_url) name one page: equal, of one telling slug, or shown in another way."""
+    tail = lambda i: F.lower(F.regexp_extract(F.regexp_replace(F.regexp_extract(i, r"^[^/?#]*([^?#]*)", 1), "/+$", ""), "([^/]*)$", 1))
+    site = lambda i: F.lower(F.regexp_extract(i, r"^([^/?#]*)", 1))
+    slug = (site(requested) == site(advertised)) & (tail(requested) == tail(advertised)) & (F.length(tail(requested)) >= 12) & tail(requested).contains("-") & tail(requested).rlike(r"\d")
+    bare = lambda i: F.split_part(i, F.lit("?"), F.lit(1))
+    told = lambda i: F.array_sort(F.filter(pairs(query(i)), lambda p: ~F.lower(p["key"]).isin(*PRESENTATION)))
+    shown = (bare(requested) == bare(advertised)) & (F.to_json(F.struct(told(requested).alias("q"))) == F.to_json(F.struct(told(advertised).alias("q"))))
+    return F.coalesce((requested == advertised) | slug | shown, F.lit(False))
+
+
 def decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 

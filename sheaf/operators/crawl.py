@@ -219,19 +219,32 @@ def fill_vehicle(listing: DataFrame, details: DataFrame, key: str = "detail_key"
     return joined.select(*out)
 
 
+#: Fixed value: records of a crawl, which bounds what one fold may hold.
+FOLD = 5000
+
+
 def dedupe_records(df: DataFrame, scope: str = "origin", order: Iterable[str] = ("page_no", "item_no")) -> DataFrame:
-    """Records of each origin merged by detail key or real VIN, in order; a bounded fold for each origin.
+    """Records of each origin merged by detail key or real VIN, in order.
 
-    A record that meets an earlier one fills its blanks, and a real VIN replaces a surrogate. The fold depends on the
-    order, so it is a grouped map; an origin has some thousand records by the crawl's own cap.
+    A record that meets an earlier one fills its blanks, and a real VIN replaces a surrogate. Records that share neither
+    key nor VIN with another one of their origin stay as they are and take no part in the fold, which depends on the
+    order and so is a grouped map. It holds FOLD records at most, the crawl's own cap; more are an error.
     """
     columns = df.columns
-    schema = df.drop("__u").schema
+    schema = df.schema
+    real = F.when(~V.is_surrogate(F.col("vin")), F.col("vin"))
+    shared = lambda c: F.col(c).isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(scope, c)) > 1)
+    marked = df.withColumn("__v", F.when(real != "", real)).withColumn("__u", F.when(F.col("detail_key") != "", F.col("detail_key")))
+    marked = marked.withColumn("__a", shared("__u")).withColumn("__b", shared("__v"))
+    alone = marked.where(~F.col("__a") & ~F.col("__b")).select(*columns)
+    meeting = marked.where(F.col("__a") | F.col("__b")).select(*columns)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         by_url: dict[str, int] = {}
         by_vin: dict[str, int] = {}
         out: list[dict] = []
+        if len(part) > FOLD:
+            raise ValueError(f"{len(part)} records of one {scope} share keys; a crawl has {FOLD} at most")
         blank = lambda v: v is None or (isinstance(v, float) and v != v) or (hasattr(v, "__len__") and len(v) == 0)
         for record in part.sort_values(list(order)).to_dict("records"):
             u, v = record.get("detail_key"), record.get("vin")
@@ -254,7 +267,15 @@ def dedupe_records(df: DataFrame, scope: str = "origin", order: Iterable[str] =
                 by_vin[now] = i
         return pd.DataFrame(out, columns=columns)
 
-    return df.groupBy(scope).applyInPandas(fold, schema)
+    return alone.unionByName(meeting.groupBy(scope).applyInPandas(fold, schema))
+
+
+def conflicts(df: DataFrame, scope: str = "origin") -> DataFrame:
+    """(scope, kind, key, values): detail keys with several real VINs, and VINs with several detail keys."""
+    real = F.when(~V.is_surrogate(F.col("vin")) & (F.col("vin") != ""), F.col("vin"))
+    r = df.select(scope, F.when(F.col("detail_key") != "", F.col("detail_key")).alias("u"), real.alias("v")).where("u is not null and v is not null")
+    told = lambda kind, a, b: r.groupBy(scope, F.col(a).alias("key")).agg(F.array_sort(F.collect_set(b)).alias("values")).where(F.size("values") > 1).select(scope, F.lit(kind).alias("kind"), "key", "values")
+    return told("detail_key", "u", "v").unionByName(told("vin", "v", "u"))
 
 
 def latest(rows: DataFrame, fields: list[str], order: Iterable[str] = ("page_no", "item_no")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +37,19 @@ def intake(requests: DataFrame, jobs: DataFrame, blocked: DataFrame, limit: int
     return seen.select(*requests.columns, why.alias("decision"))
 
 
-def lineage(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    """(run, root, generation) by parents; runs: (run, parent)."""
-    runs.createOrReplaceTempView("sheaf_runs")
-    return spark.sql("""
-        WITH RECURSIVE line(run, root, generation) AS (
-          SELECT run, run, 0 FROM sheaf_runs WHERE parent IS NULL
-          UNION ALL
-          SELECT r.run, l.root, l.generation + 1 FROM line l JOIN sheaf_runs r ON r.parent = l.run
-        ) SELECT run, root, generation FROM line""")
+def lineage(spark: SparkSession, runs: DataFrame, generations: int = 1000) -> DataFrame:
+    """(run, root, generation) by parents; runs: (run, parent). A chain of more generations than stated is an error."""
+    view = f"sheaf_runs_{uuid.uuid4().hex}"
+    runs.createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"""
+            WITH RECURSIVE line(run, root, generation) MAX RECURSION LEVEL {int(generations)} AS (
+              SELECT run, run, 0 FROM {view} WHERE parent IS NULL
+              UNION ALL
+              SELECT r.run, l.root, l.generation + 1 FROM line l JOIN {view} r ON r.parent = l.run
+            ) SELECT run, root, generation FROM line""")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def shadowed(seed: DataFrame, data: DataFrame, key: str = "origin") -> DataFrame:

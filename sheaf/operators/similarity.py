@@ -77,39 +77,30 @@ def class_tokens(html: Column) -> Column:
 
 
 def features(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, feature, value) of all pages."""
+    """(key, feature, value) of all pages: their markup is read once, and what is counted is counted after one explode."""
     page = F.col(html)
-    given = pages.select(key, page.alias("h"))
-    flat = lambda name, values: given.select(key, F.lit(name).alias("feature"), F.explode(values).alias("value"))
-    family = F.split_part(F.col("t"), F.lit("-"), F.lit(1))
-    families = (
-        given.select(key, F.explode(class_tokens(F.col("h"))).alias("t"))
-        .where(F.length("t").between(3, 60) & F.col("t").contains("-"))
-        .select(key, family.alias("f"))
-        .where((F.length("f") >= 3) & ~F.col("f").isin(*PLAIN_CLASSES) & F.col("f").rlike(r"^\p{L}+$"))
-        .groupBy(key, "f")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= FAMILY_COUNT)
-    )
-    top = lambda df, order, cap: df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), order))).where(F.col("r") <= cap)
-    images = F.regexp_extract_all(F.col("h"), F.lit(r"(?i)(https?://[^\s\"'<>\\)]{4,500}\.(?:jpe?g|png|webp|avif|gif))"), 1)
-    hosts = given.select(key, F.explode(images).alias("u")).select(key, U.host(F.col("u")).alias("f")).where("f <> ''").groupBy(key, "f").agg(F.count(F.lit(1)).alias("n"))
-    scripts = F.regexp_extract_all(F.col("h"), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
+    named = lambda feature, values: F.transform(values, lambda v: F.struct(F.lit(feature).alias("feature"), v.alias("value")))
+    family = F.filter(F.transform(F.filter(class_tokens(page), lambda t: F.length(t).between(3, 60) & t.contains("-")), lambda t: F.split_part(t, F.lit("-"), F.lit(1))), lambda f: (F.length(f) >= 3) & ~f.isin(*PLAIN_CLASSES) & f.rlike(r"^\p{L}+$"))
+    images = F.regexp_extract_all(page, F.lit(r"(?i)(https?://[^\s\"'<>\\)]{4,500}\.(?:jpe?g|png|webp|avif|gif))"), 1)
+    hosts = F.filter(F.transform(images, lambda u: U.host(u)), lambda h: h != "")
+    scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
     types = F.array_distinct(F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(r"\"@type\"\s*:\s*\"([^\"]+)\""), 1))))
     paging = {"pager:rel-next": r"rel\s*=\s*[\"']?next\b", "pager:query": r"href\s*=\s*[\"'][^\"']*[?&](?:page|pg)=\d", "pager:offset": r"href\s*=\s*[\"'][^\"']*[?&](?:start|offset)=\d", "pager:path": r"href\s*=\s*[\"'][^\"']*/(?:page|pg)/\d"}
-    parts = [
-        flat("platform_tokens", _named(PLATFORMS, F.col("h"), True)),
-        flat("gallery_mechanisms", _named(GALLERIES, F.col("h"), False)),
-        flat("photo_path_grammars", _named(GRAMMARS, F.col("h"), True, "")),
-        flat("pagination", _named(paging, F.col("h"), True)),
-        flat("json_ld_types", types),
-        top(families, "f", FAMILIES).select(key, F.lit("class_families").alias("feature"), F.concat(F.lit("family:"), F.col("f"), F.lit("-")).alias("value")),
-        top(hosts, "f", HOSTS).select(key, F.lit("photo_cdn_hosts").alias("feature"), F.concat(F.lit("cdn:"), F.col("f")).alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = F.concat(
+        named("platform_tokens", _named(PLATFORMS, page, True)),
+        named("gallery_mechanisms", _named(GALLERIES, page, False)),
+        named("photo_path_grammars", _named(GRAMMARS, page, True, "")),
+        named("pagination", _named(paging, page, True)),
+        named("json_ld_types", types),
+        named("class_families", family),
+        named("photo_cdn_hosts", hosts),
+    )
+    counted = pages.select(key, F.explode(found).alias("f")).groupBy(key, F.col("f.feature").alias("feature"), F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    enough = counted.where((F.col("feature") != "class_families") | (F.col("n") >= FAMILY_COUNT))
+    most = F.when(F.col("feature") == "class_families", FAMILIES).when(F.col("feature") == "photo_cdn_hosts", HOSTS)
+    rank = F.row_number().over(Window.partitionBy(key, "feature").orderBy(F.desc("n"), "value"))
+    shown = F.when(F.col("feature") == "class_families", F.concat(F.lit("family:"), "value", F.lit("-"))).when(F.col("feature") == "photo_cdn_hosts", F.concat(F.lit("cdn:"), "value")).otherwise(F.col("value"))
+    return enough.withColumn("r", rank).where(most.isNull() | (F.col("r") <= most)).select(key, "feature", shown.alias("value"))
 
 
 def weight(feature: Column, value: Column) -> Column:
@@ -120,11 +111,21 @@ def weight(feature: Column, value: Column) -> Column:
 def similar(queries: DataFrame, library: DataFrame, floor: float = FLOOR, k: int = MATCHES) -> DataFrame:
     """The k best library records of each query: (query, origin, overlap, score, rank).
 
-    queries: (query, host, feature, value); library: (origin, host, verdict, feature, value). Both sides meet on
-    (feature, value) alone, so only what is shared is joined, and sums are combined before they are shuffled.
+    queries: (query, host, feature, value); library: (origin, host, verdict, feature, value). Both sides meet on strong
+    features alone; weak values, which most pages have, are a short list of each record and add to the pairs found.
+    They cannot reach the floor by themselves, so no pair is lost; a lower floor is refused.
     """
-    shared = queries.select("query", F.col("host").alias("qh"), "feature", "value").distinct().join(library.select("origin", "host", "verdict", "feature", "value").distinct(), ["feature", "value"]).where(F.col("qh").isNull() | (F.col("qh") != F.col("host")))
-    total = shared.groupBy("query", "origin").agg(F.round(F.sum(weight(F.col("feature"), F.col("value"))), 3).alias("overlap"), F.first("verdict").alias("verdict"))
+    if floor <= len(WEAK) * WEAK_WEIGHT * max(VERDICTS.values()):
+        raise ValueError("weak values alone could reach this floor")
+    strong = ~F.col("value").isin(*WEAK)
+    q = queries.select("query", F.col("host").alias("qh"), "feature", "value").distinct()
+    own = library.select("origin", "host", "verdict", "feature", "value").distinct()
+    # weak values of a record: no more than there are
+    weak = lambda df, name, to: df.where(~strong).groupBy(name).agg(F.collect_set(F.concat_ws("|", "feature", "value")).alias(to))
+    shared = q.where(strong).join(own.where(strong), ["feature", "value"]).where(F.col("qh").isNull() | (F.col("qh") != F.col("host")))
+    pairs = shared.groupBy("query", "origin").agg(F.sum(weight(F.col("feature"), F.col("value"))).alias("strong"), F.min("verdict").alias("verdict"))
+    both = pairs.join(weak(q, "query", "qw"), "query", "left").join(weak(own, "origin", "ow"), "origin", "left")
+    total = both.withColumn("overlap", F.round(F.col("strong") + WEAK_WEIGHT * F.coalesce(F.size(F.array_intersect("qw", "ow")), F.lit(0)), 3))
     by = F.coalesce(*(F.when(F.col("verdict") == v, F.lit(w)) for v, w in VERDICTS.items()), F.lit(0.6))
     scored = total.select("query", "origin", "overlap", F.round(F.col("overlap") * by, 2).alias("score")).where(F.col("score") >= floor)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "origin"))).where(F.col("rank") <= k)

@@ -88,6 +88,36 @@ def is_vehicle(mapping: dict[str, Any]) -> bool:
     return len({plain_key(k) for k in mapping} & VEHICLE_KEYS) >= 2
 
 
+#: Containers of a vehicle's root, beside those of its fields and features, that are its own.
+CONTAINERS = frozenset("offers aggregateoffer media vehiclemedia image images photo photos picture pictures gallery".split())
+
+
+def owned(mapping: dict[str, Any], vin: str | None = None, depth: int = 0) -> dict[str, Any]:
+    """A vehicle's mapping without what belongs to others: containers that are not its own, nested vehicles and other VINs."""
+    mine = CONTAINERS | FEATURES | {a for names in ALIASES.values() for a in names}
+
+    def keep(value: Any, level: int) -> Any:
+        """The value without foreign parts; None stands for nothing left."""
+        if level > DEPTH:
+            return None
+        if isinstance(value, list):
+            return [k for v in value[:CHILDREN] if (k := keep(v, level + 1)) is not None]
+        if not isinstance(value, dict):
+            return value
+        own = field_of(value, "vin")
+        if own and vin and own.upper() != vin or is_vehicle(value) and (own or "").upper() != (vin or "\0"):
+            return None
+        return owned(value, vin, level)
+
+    out = {}
+    for key, value in mapping.items():
+        if depth == 0 and isinstance(value, (dict, list)) and plain_key(key) not in mine:
+            continue
+        if value is None or (kept := keep(value, depth + 1)) is not None:
+            out[key] = kept if value is not None else None
+    return out
+
+
 def _feature_texts(value: Any, depth: int = 0) -> Iterator[str]:
     if isinstance(value, str):
         yield value

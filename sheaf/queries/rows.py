@@ -136,6 +136,17 @@ def dedupe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dedupe_records(once.unionByName(again)).groupBy("origin").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("vin").startswith("1FT") & (F.col("make") == "m")).alias("promoted"))
 
 
+@query("""
+SELECT o_custkey % 20 AS origin, 'detail_key' AS kind, 'u' || o_custkey AS key, COUNT(DISTINCT o_orderkey % 3) AS n FROM orders GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderkey % 3) > 1
+UNION ALL SELECT o_custkey % 20, 'vin', 'VIN' || (o_orderkey % 3) || 'x' || (o_custkey % 20), COUNT(DISTINCT o_custkey) FROM orders GROUP BY o_custkey % 20, o_orderkey % 3 HAVING COUNT(DISTINCT o_custkey) > 1""")
+def record_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail keys of several VINs and VINs of several detail keys."""
+    k = F.col("o_custkey")
+    vin = F.concat(F.lit("VIN"), (F.col("o_orderkey") % 3).cast("string"), F.lit("x"), (k % 20).cast("string"))
+    rows = table(spark, sf_dir, "orders").select((k % 20).alias("origin"), F.concat(F.lit("u"), k.cast("string")).alias("detail_key"), vin.alias("vin"))
+    return C.conflicts(rows).select("origin", "kind", "key", F.size("values").cast("bigint").alias("n"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_type IN ('error', 'click') THEN '''' || (CASE event_type WHEN 'error' THEN '=' ELSE '@' END) || event_type ELSE event_type END AS label,
   '{"kind":"' || event_type || '","extra":null}' AS nested FROM events""")

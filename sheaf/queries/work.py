@@ -78,8 +78,7 @@ def fresh_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def event_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", seq.cast("bigint").alias("seq"))
+    return E.numbered(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "seq")
 
 
 @query("SELECT event_id + 1 AS seq, event_type FROM events WHERE event_id + 1 > 100 AND event_type <> 'view' ORDER BY seq LIMIT 500")

@@ -79,9 +79,10 @@ def records(spark: SparkSession, path: str, schema: StructType = VEHICLE_ROW) ->
         .when(keys.isNull() | F.col("r._bad").isNotNull(), "broken")
         .when(F.size(F.array_distinct(keys)) < F.size(keys), "repeated_key")
         .when(F.size(F.array_except(keys, known)) > 0, "unknown_field")
-        .when(F.size("r.photos") > 80, "too_many_photos")
-        .when(F.size("r.features") > 160, "too_many_features")
     )
+    for name, most in (("photos", 80), ("features", 160)):
+        if name in schema.names:
+            error = error.when(F.size(f"r.{name}") > most, f"too_many_{name}")
     judged = parsed.withColumn("error", error)
     return judged.where("error is null").select(*(F.col(f"r.{f.name}").alias(f.name) for f in schema.fields)), judged.where("error is not null").select("value", "error")
 

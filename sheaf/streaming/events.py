@@ -6,8 +6,9 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed value: bytes of an event's payload before it is cut to a preview.
@@ -53,6 +54,26 @@ def bounded_payload(events: DataFrame, column: str = "props") -> DataFrame:
     return events.withColumn(column, F.when(F.octet_length(c) > PAYLOAD, F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(c, 1, 1000).alias("preview")))).otherwise(c))
 
 
+def follow(spark: SparkSession, folder: str, schema: Any, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append the events of a folder to a Parquet folder as they come, each once, from where an earlier call stopped.
+
+    The cursor is the checkpoint, so a restart repeats nothing and misses nothing. Without an interval it reads what is
+    there and ends; with one (as "30 seconds") it goes on, a tick at a time, until it is stopped.
+    """
+    writer = bounded_payload(event_stream(spark, folder, schema)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def ended(events: DataFrame, run: str = "run", terminal: Iterable[str] = ("passed", "partial", "failed")) -> DataFrame:
+    """(run, last): of runs that are over the number of their last event; a tail of such a run ends there."""
+    return events.where(F.col("event_type").isin(*terminal)).groupBy(run).agg(F.min("seq").alias("last"))
+
+
+def numbered(events: DataFrame, run: str = "run", order: Iterable[str] = ("ts",)) -> DataFrame:
+    """Events with a dense number in their run, in order: what an appender of one run would count."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(*order)).cast("bigint"))
+
+
 def claim_stream(crawls: DataFrame, rest_s: float, refused_rest_s: float) -> DataFrame:
     """(origin, at, admitted): crawl requests by origin as they come; one is admitted when the origin has rested.
 
