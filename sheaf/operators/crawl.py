@@ -219,6 +219,22 @@ def fill_vehicle(listing: DataFrame, details: DataFrame, key: str = "detail_key"
     return joined.select(*out)
 
 
+def gallery_authority(rows: DataFrame, galleries: DataFrame, key: str = "detail_key") -> DataFrame:
+    """Rows whose photos are those of their proven detail page, or none: a listing's picture never stands in for them.
+
+    galleries: (key, photos, census, placeholder) of proven pages alone; census counts the page's own photos. A page
+    with one photo of its own, and one that publishes a placeholder, say so; rows without a proven page stay.
+    """
+    g = galleries.select(key, F.struct(F.coalesce("photos", F.array().cast("array<string>")).alias("photos"), "census", "placeholder").alias("g"))
+    joined = rows.join(g, key, "left")
+    kept = F.col("photo_exception") if "photo_exception" in rows.columns else F.lit(None).cast("string")
+    proven, n = F.col("g").isNotNull(), F.size("g.photos")
+    said = F.when((n == 1) & (F.col("g.census") == 1), "single_photo_published").when((n == 0) & F.col("g.placeholder"), "no_photos_published").otherwise(kept)
+    own = {"photos": F.col("g.photos"), "photo": F.get("g.photos", F.lit(0))}
+    columns = [F.when(proven, own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in rows.columns if c != "photo_exception"]
+    return joined.select(*columns, F.when(proven, said).otherwise(kept).alias("photo_exception"))
+
+
 #: Fixed value: records of a crawl, which bounds what one fold may hold.
 FOLD = 5000
 

@@ -162,11 +162,32 @@ def states_of(root: Node) -> Iterator[tuple[str, Any]]:
                     except (ValueError, RecursionError):
                         continue
                     for part in chunk[1:] if isinstance(chunk, list) else ():
-                        # records of a flight stream: id, colon, JSON
-                        for line in str(part).split("\n")[:512]:
-                            head, _, rest = line.partition(":")
-                            if re.fullmatch(r"[0-9a-z]{1,8}", head) and rest[:1] in "[{":
-                                yield from read("flight", rest)
+                        yield from (("flight", value) for value in flight_records(str(part)))
+
+
+#: A record at its boundary: an id, then text of a declared length in bytes, or a line.
+_RECORD = re.compile(rb"[\r\n]*(?:[0-9a-zA-Z]+)?:(?:[Tt]([0-9a-fA-F]{1,8}),|([^\n]*)\n?)")
+RECORDS = 512
+
+
+def flight_records(payload: str) -> Iterator[Any]:
+    """JSON values of a flight stream: its records follow one another, and texts of declared length are passed over whole."""
+    raw, at = payload.encode("utf-8", "ignore"), 0
+    for _ in range(RECORDS):
+        m = _RECORD.match(raw, at)
+        if m is None:
+            return
+        if m[1] is not None:
+            at = m.end() + int(m[1], 16)
+            if at > len(raw):
+                return
+            continue
+        at = m.end()
+        if m[2][:1] in (b"{", b"["):
+            try:
+                yield json.loads(m[2])
+            except (ValueError, RecursionError):
+                continue
 
 
 def vehicle_mappings(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

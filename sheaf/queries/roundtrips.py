@@ -108,6 +108,22 @@ def microdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("p_partkey"), "brand", "name", "description")
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey END AS found, p_partkey % 6 IN (0, 1, 3) AS evidence FROM part")
+def flight_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles in flight records behind texts of declared length, a text that is cut short, and cards with evidence of their own."""
+    k, s = F.col("p_partkey"), _s("p_partkey")
+    car = F.concat(F.lit('{\\"make\\":\\"Ford\\",\\"modelYear\\":2020,\\"stock\\":\\"'), s, F.lit('\\"}'))
+    length = F.when(k % 4 == 0, "ff").otherwise("9")
+    html = F.concat(F.lit('<script>self.__next_f.push([1,"1:T'), length, F.lit(',2:{\\"a\\":1}3:'), car, F.lit('\\n:HL[\\"x\\"]\\n"])</script>'))
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit(f"{SITE}/vdp/"), s).alias("url"), html.alias("html"))
+    cars = S.vehicle_mappings(pages).select("url", F.col("stock_number").alias("stock"))
+    m = k % 6
+    text = F.element_at(F.array(F.lit("2020 $4,000"), F.concat(F.lit("vin "), _vin()), F.lit("2020 nothing"), F.lit("2020 nothing"), F.lit("$4,000"), F.lit("2020 $4,000")), (m + 1).cast("int"))
+    evidence = V.local_evidence(text, F.when(m == 3, "vehicle-card").otherwise("x"), m != 5, F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(f"{SITE}/vdp/"), s).alias("url"), evidence.alias("evidence"))
+    return rows.join(cars, "url", "left").select("p_partkey", F.coalesce(F.col("stock").cast("bigint"), F.lit(0)).alias("found"), "evidence")
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN 3000 + p_partkey END AS price, 2000 + p_size % 20 AS year, CASE WHEN p_partkey % 2 = 0 THEN 'used' ELSE 'new' END AS condition, 'https://cars.example.com/vdp/' || p_partkey AS detail_url
 FROM part WHERE p_partkey % 5 > 0""")

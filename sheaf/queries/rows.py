@@ -136,6 +136,18 @@ def dedupe_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dedupe_records(once.unionByName(again)).groupBy("origin").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("vin").startswith("1FT") & (F.col("make") == "m")).alias("promoted"))
 
 
+@query("""
+SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 3 THEN 'listing.jpg' WHEN c_custkey % 4 > 0 THEN 'p1' END AS photo, CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE c_custkey % 4 END AS photos,
+  CASE WHEN c_custkey % 4 = 1 THEN 'single_photo_published' WHEN c_custkey % 4 = 0 AND c_custkey % 3 = 0 THEN 'no_photos_published' END AS photo_exception FROM customer""")
+def gallery_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos of proven detail pages replace or clear those of listings."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(k.alias("k"), k.cast("string").alias("detail_key"), F.lit("listing.jpg").alias("photo"), F.array(F.lit("listing.jpg")).alias("photos"))
+    galleries = c.where(k % 4 < 3).select(k.cast("string").alias("detail_key"), F.slice(F.array(F.lit("p1"), F.lit("p2")), 1, (k % 4).cast("int")).alias("photos"), (k % 4).alias("census"), (k % 3 == 0).alias("placeholder"))
+    return C.gallery_authority(rows, galleries).select("k", "photo", F.size("photos").alias("photos"), "photo_exception")
+
+
 @query("""
 SELECT o_custkey % 20 AS origin, 'detail_key' AS kind, 'u' || o_custkey AS key, COUNT(DISTINCT o_orderkey % 3) AS n FROM orders GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderkey % 3) > 1
 UNION ALL SELECT o_custkey % 20, 'vin', 'VIN' || (o_orderkey % 3) || 'x' || (o_custkey % 20), COUNT(DISTINCT o_custkey) FROM orders GROUP BY o_custkey % 20, o_orderkey % 3 HAVING COUNT(DISTINCT o_custkey) > 1""")
