@@ -22,6 +22,8 @@ from sheaf.llm.toxicity import rejected, toxicity, train
 
 #: Word shingles and similarity (per cent) of the near-duplicate stage.
 SHINGLE, PERCENT = 5, 80
+#: Runs of text that a worker of the packing stage remembers, beside what the stages before it have left in the executors.
+RUNS = 400_000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their ids, sequence and offset."""
-    return pack(docs, tokenizer("word_bpe_49k.json"))
+    return pack(docs, tokenizer("word_bpe_49k.json"), memory=RUNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

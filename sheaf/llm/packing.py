@@ -25,11 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, ready, staged, trim
-from .tokens import encoder
+from .tokens import MEMORY, encoder
 
 SIZE, END = 2048, 1
-#: Runs of text remembered by a worker.
-MEMORY = 400_000
 
 
 class CapacityTree:
@@ -119,14 +117,14 @@ class Placement:
         return window, offset
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ids: bool = True, memory: int = MEMORY) -> DataFrame:
     """The pieces of all texts: full windows and a rest, with their task and rank among its pieces of their length."""
     ready(docs.sparkSession)
     given = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
-        last, encode = np.array([end], dtype="<u4").tobytes(), encoder(path, MEMORY).encode
+        last, encode = np.array([end], dtype="<u4").tobytes(), encoder(path, memory).encode
         for batch in batches:
             rows: list[tuple] = []
             for k, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -145,9 +143,12 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return made if ids else made.drop("ids")
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ids: bool = True) -> DataFrame:
-    """Pieces of all texts with sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens and, if asked, ids."""
-    cut, _ = staged(pieces(docs, path, key, text, size, end, ids), "pieces")
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, ids: bool = True, memory: int = MEMORY) -> DataFrame:
+    """Pieces of all texts with sequence_id and offset: doc_id, start, length, ids_crc32, doc_tokens and, if asked, ids.
+
+    A worker remembers the ids of as many runs of text as memory says, some 200 bytes each.
+    """
+    cut, _ = staged(pieces(docs, path, key, text, size, end, ids, memory), "pieces")
     counted = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "task", "base")
