@@ -31,6 +31,8 @@ from .tokens import encoder
 END = 1
 #: Ids of a block, occurrences that make a pair frequent, and bits of the filter by which frequent pairs are found.
 BLOCK, FREQUENT, BITS = 1 << 19, 16, 18
+#: Runs of text that a worker remembers, some 200 bytes each.
+RUNS = 1_500_000
 _MAGIC = b"RPG1"
 
 
@@ -172,7 +174,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text
     dealt = given.repartitionById(max(n, len(bounds) + 1), F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(path, RUNS)
         base = max(tool.library.get_vocab_size(with_added_tokens=True), end + 1)
         last = np.array([end], dtype="<u4").tobytes()
         keys: list[int | None] = []
