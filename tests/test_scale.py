@@ -10,3 +10,8 @@ from sheaf.operators import crawl, evidence
 def test_pages_of_long_series(spark):
     links = spark.createDataFrame([("https://x.example/used?page=200000", i, f"https://x.example/used?page={n}") for i, n in enumerate((1, 199_999, 200_001))], "url string, link_no int, target string")
     assert [r["page_number"] for r in crawl.next_in_series(links).collect()] == [200_001]
+
+
+def test_offsets_of_long_series(spark):
+    links = spark.createDataFrame([("https://x.example/used?start=12000000", i, f"https://x.example/used?start={n}") for i, n in enumerate((11_999_976, 12_000_000, 12_000_024))], "url string, link_no int, target string")
+    assert [r["offset"] for r in crawl.next_by_offset(links).collect()] == [12_000_024]
