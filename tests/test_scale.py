@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sheaf.operators import crawl, evidence
+from sheaf.operators import html as H
 
 
 def test_pages_of_long_series(spark):
@@ -20,3 +22,14 @@ def test_offsets_of_long_series(spark):
 def test_labelled_mileage_has_no_ceiling(spark):
     df = spark.createDataFrame([("Spec | Mileage: 1,201,000 | end",), ("a demonstrator with just 400,001 miles",), ("Mileage: 0",)], "t string")
     assert [r["m"] for r in df.select(evidence.labelled_mileage(F.col("t")).alias("m")).collect()] == [1_201_000, 400_001, None]
+
+
+def test_a_worker_hands_rows_on_before_a_batch_ends(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "")], "page_id long, html string")
+    caught = {}
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: caught.setdefault("f", f))
+    H.per_page(pages, "html", ["page_id"], H.StructType([H.StructField("n", H.IntegerType())]), lambda root, row: [{"n": i} for i in range(300)])
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(20)), "__html": [None, "<p>"] * 10})
+    out = list(caught["f"](iter([batch])))
+    assert max(b.num_rows for b in out) < 2000 and sum(b.num_rows for b in out) == 6000
+    assert [b["page_id"][0].as_py() for b in out if b.num_rows] == [0, 4, 8, 12, 16]
