@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import crawl, evidence
 from sheaf.operators import html as H
+from sheaf.queries.registry import table
 
 
 def test_pages_of_long_series(spark):
@@ -33,3 +34,11 @@ def test_a_worker_hands_rows_on_before_a_batch_ends(spark, monkeypatch):
     out = list(caught["f"](iter([batch])))
     assert max(b.num_rows for b in out) < 2000 and sum(b.num_rows for b in out) == 6000
     assert [b["page_id"][0].as_py() for b in out if b.num_rows] == [0, 4, 8, 12, 16]
+
+
+def test_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
+    spark.range(20_001).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    many = table(spark, str(tmp_path), "part")
+    assert many.rdd.getNumPartitions() == 5 and many.distinct().count() == 20_001
+    assert table(spark, str(tmp_path), "nation").rdd.getNumPartitions() == 1
