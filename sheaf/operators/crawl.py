@@ -5,9 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,12 +240,27 @@ def gallery_authority(rows: DataFrame, galleries: DataFrame, key: str = "detail_
 FOLD = 5000
 
 
+def _linked(edges: DataFrame) -> DataFrame:
+    """(b, label) of the nodes b that several others share an a with: the smallest that each reaches, by rounds of two numbers a node."""
+    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = edges.join(many, "a", "left_semi").localCheckpoint()
+    labels = links.select("b", F.col("b").alias("label")).distinct().localCheckpoint()
+    while True:
+        near = links.join(labels, "b").groupBy("a").agg(F.min("label").alias("m")).join(links, "a").groupBy("b").agg(F.min("m").alias("m"))
+        jump = labels.select(F.col("b").alias("m"), F.col("label").alias("next"))
+        lower = labels.join(near, "b").join(jump, "m", "left").select("b", F.col("label").alias("old"), F.least("m", F.coalesce("next", "m")).alias("label")).localCheckpoint()
+        labels = lower.select("b", "label")
+        if lower.where("old <> label").isEmpty():
+            return labels
+
+
 def dedupe_records(df: DataFrame, scope: str = "origin", order: Iterable[str] = ("page_no", "item_no")) -> DataFrame:
     """Records of each origin merged by detail key or real VIN, in order.
 
     A record that meets an earlier one fills its blanks, and a real VIN replaces a surrogate. Records that share neither
-    key nor VIN with another one of their origin stay as they are and take no part in the fold, which depends on the
-    order and so is a grouped map. It holds FOLD records at most, the crawl's own cap; more are an error.
+    key nor VIN with another one of their origin stay as they are. All others are folded in order, those that keys and
+    VINs link, directly or by others, by themselves: no other record can change what they become, so an origin may have
+    any number of them. FOLD linked records are a fold's most, the crawl's own cap; more are an error.
     """
     columns = df.columns
     schema = df.schema
@@ -253,16 +269,23 @@ def dedupe_records(df: DataFrame, scope: str = "origin", order: Iterable[str] =
     marked = df.withColumn("__v", F.when(real != "", real)).withColumn("__u", F.when(F.col("detail_key") != "", F.col("detail_key")))
     marked = marked.withColumn("__a", shared("__u")).withColumn("__b", shared("__v"))
     alone = marked.where(~F.col("__a") & ~F.col("__b")).select(*columns)
-    meeting = marked.where(F.col("__a") | F.col("__b")).select(*columns)
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    # numbers stand for keys: two keys of one number would be folded together, which changes nothing
+    node = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(scope, F.lit(c), c))
+    meeting = marked.where(F.col("__a") | F.col("__b")).select(*columns, node("__u").alias("__a"), node("__v").alias("__b"))
+    edges = meeting.where("__a is not null and __b is not null").select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct()
+    first = edges.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("__f"))
+    at = meeting.join(first, "__a", "left").withColumn("__b", F.coalesce("__b", "__f", "__a"))
+    labelled = at.join(_linked(edges).withColumnRenamed("b", "__b"), "__b", "left").select(*columns, F.coalesce("label", "__b").alias("__c"))
+    dealt = labelled.repartition(scope, "__c").sortWithinPartitions(scope, "__c", *(F.col(c).asc_nulls_last() for c in order))
+
+    def fold(records: Iterable[dict]) -> list[dict]:
         by_url: dict[str, int] = {}
         by_vin: dict[str, int] = {}
         out: list[dict] = []
-        if len(part) > FOLD:
-            raise ValueError(f"{len(part)} records of one {scope} share keys; a crawl has {FOLD} at most")
         blank = lambda v: v is None or (isinstance(v, float) and v != v) or (hasattr(v, "__len__") and len(v) == 0)
-        for record in part.sort_values(list(order)).to_dict("records"):
+        for n, record in enumerate(records):
+            if n >= FOLD:
+                raise ValueError(f"more than {FOLD} records of one {scope} share keys; a crawl has {FOLD} at most")
             u, v = record.get("detail_key"), record.get("vin")
             real = v if v and not str(v).startswith(V.SURROGATE) else None
             found = [i for i in (by_url.get(u) if u else None, by_vin.get(real) if real else None) if i is not None]
@@ -281,9 +304,27 @@ def dedupe_records(df: DataFrame, scope: str = "origin", order: Iterable[str] =
                 by_url[out[i]["detail_key"]] = i
             if now and not str(now).startswith(V.SURROGATE):
                 by_vin[now] = i
-        return pd.DataFrame(out, columns=columns)
-
-    return alone.unionByName(meeting.groupBy(scope).applyInPandas(fold, schema))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        kinds: list[pa.Schema] = []
+
+        def records() -> Iterator[dict]:
+            for batch in batches:
+                kinds[:] = [pa.schema(list(batch.schema)[:-1])]
+                for i in range(0, batch.num_rows, 1000):
+                    yield from batch.slice(i, 1000).to_pylist()
+
+        for _, linked in groupby(records(), lambda r: (r[scope], r["__c"])):
+            made += fold({k: x for k, x in r.items() if k != "__c"} for r in linked)
+            if len(made) >= 1000:
+                yield pa.RecordBatch.from_pylist(made, kinds[0])
+                made = []
+        if made:
+            yield pa.RecordBatch.from_pylist(made, kinds[0])
+
+    return alone.unionByName(dealt.mapInArrow(run, schema))
 
 
 def conflicts(df: DataFrame, scope: str = "origin") -> DataFrame:

@@ -42,3 +42,13 @@ def test_rows_of_a_small_file_are_dealt_out(spark, tmp_path):
     many = table(spark, str(tmp_path), "part")
     assert many.rdd.getNumPartitions() == 5 and many.distinct().count() == 20_001
     assert table(spark, str(tmp_path), "nation").rdd.getNumPartitions() == 1
+
+
+def test_an_origin_may_have_any_number_of_shared_records(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "FOLD", 3)
+    vin = lambda i: f"1FTFW1ET0EKF{i:05}"
+    pairs = [("o", p, i, f"x/{i}", vin(i) if p else None, None if p else 1.5) for i in range(40) for p in (0, 1)]
+    chain = [("o", 2, 0, "y/1", vin(900), None), ("o", 2, 1, "y/2", vin(901), 2.5), ("o", 2, 2, "y/1", vin(901), 3.5)]
+    rows = spark.createDataFrame([*pairs, *chain, ("p", 0, 0, "x/1", None, 9.0)], "origin string, page_no int, item_no int, detail_key string, vin string, price double")
+    got = {(r["origin"], r["detail_key"]): (r["vin"], r["price"]) for r in crawl.dedupe_records(rows).collect()}
+    assert got == {("o", f"x/{i}"): (vin(i), 1.5) for i in range(40)} | {("o", "y/1"): (vin(900), 3.5), ("o", "y/2"): (vin(901), 2.5), ("p", "x/1"): (None, 9.0)}
