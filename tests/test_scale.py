@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sheaf.functions import url, vin
 from sheaf.operators import crawl, evidence
 from sheaf.operators import html as H
 from sheaf.queries.registry import table
@@ -52,3 +53,9 @@ def test_an_origin_may_have_any_number_of_shared_records(spark, monkeypatch):
     rows = spark.createDataFrame([*pairs, *chain, ("p", 0, 0, "x/1", None, 9.0)], "origin string, page_no int, item_no int, detail_key string, vin string, price double")
     got = {(r["origin"], r["detail_key"]): (r["vin"], r["price"]) for r in crawl.dedupe_records(rows).collect()}
     assert got == {("o", f"x/{i}"): (vin(i), 1.5) for i in range(40)} | {("o", "y/1"): (vin(900), 3.5), ("o", "y/2"): (vin(901), 2.5), ("p", "x/1"): (None, 9.0)}
+
+
+def test_a_url_is_normalised_once_for_its_key(spark):
+    df = spark.createDataFrame([("https://www.x.example/vdp/1?utm_source=x",), (None,)], "u string").select(vin.surrogate_vin(F.col("u")).alias("k"), url.card_scope_key(F.col("u")).alias("s"))
+    assert str(df._jdf.queryExecution().analyzed()).count("UTF-16LE") == 1
+    assert [(r["k"] is None, r["s"]) for r in df.collect()] == [(False, "x.example/vdp/1"), (True, None)]
