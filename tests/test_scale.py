@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sheaf.functions import url, vin
 from sheaf.operators import crawl, evidence
 from sheaf.operators import html as H
+from sheaf.operators import pagers as P
+from sheaf.queries import QUERIES
 from sheaf.queries.registry import table
 
 
@@ -59,3 +61,18 @@ def test_a_url_is_normalised_once_for_its_key(spark):
     df = spark.createDataFrame([("https://www.x.example/vdp/1?utm_source=x",), (None,)], "u string").select(vin.surrogate_vin(F.col("u")).alias("k"), url.card_scope_key(F.col("u")).alias("s"))
     assert str(df._jdf.queryExecution().analyzed()).count("UTF-16LE") == 1
     assert [(r["k"] is None, r["s"]) for r in df.collect()] == [(False, "x.example/vdp/1"), (True, None)]
+
+
+def test_a_pager_reads_its_pages_once(spark, tmp_path):
+    spark.range(1, 13).selectExpr("id as c_custkey", "id % 12 as c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["vehicle_pagers"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r["next_url"][-1], r["reason"]) for r in found.collect() if r["c_custkey"] < 4} == {("3", "label"), ("4", "number"), ("5", "rel_next")}
+
+
+def test_an_offset_pager_steps_by_its_smallest_gap(spark):
+    starts = {"/used?start=24": (0, 48, 72, 48), "/new?start=7": (7, 9), "/inventory?start=12": (12, 24, 18)}
+    rows = [(f"https://x.example{u}", i, f"https://x.example{u.split('=')[0]}={n}", "", "x", "x", "a", 0) for u, ns in starts.items() for i, n in enumerate(ns)]
+    links = spark.createDataFrame(rows, "url string, link_no int, target string, rel string, text string, label string, selector string, disabled int")
+    got = {r["url"]: (r["next_url"], r["reason"]) for r in P.next_vehicle_pages(links, ["url"]).collect()}
+    assert got == {"https://x.example/used?start=24": ("https://x.example/used?start=48", "offset"), "https://x.example/inventory?start=12": ("https://x.example/inventory?start=18", "offset")}
