@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sheaf.functions import url, vin
+from sheaf.functions import text, url, vin
 from sheaf.operators import crawl, evidence
 from sheaf.operators import html as H
 from sheaf.operators import pagers as P
@@ -76,3 +76,16 @@ def test_an_offset_pager_steps_by_its_smallest_gap(spark):
     links = spark.createDataFrame(rows, "url string, link_no int, target string, rel string, text string, label string, selector string, disabled int")
     got = {r["url"]: (r["next_url"], r["reason"]) for r in P.next_vehicle_pages(links, ["url"]).collect()}
     assert got == {"https://x.example/used?start=24": ("https://x.example/used?start=48", "offset"), "https://x.example/inventory?start=12": ("https://x.example/inventory?start=18", "offset")}
+
+
+def test_a_text_is_cleaned_once_for_its_number(spark):
+    t = F.col("t")
+    df = spark.createDataFrame([(" $ 1,200.50 / 3 km ",), ("built in 2019, -5",), ("",), (None,)], "t string").select(text.number(t).alias("n"), text.year(t).alias("y"), text.unit(t).alias("u"), text.condition(t).alias("c"))
+    assert str(df._jdf.queryExecution().analyzed()).count("(?U)") == 4
+    assert [tuple(r) for r in df.collect()] == [(1200.5, None, "km", None), (2019.0, 2019, None, None), (None,) * 4, (None,) * 4]
+
+
+def test_spread_tasks_do_not_grow_with_few_rows_each(spark, tmp_path):
+    spark.range(400_000).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    many = table(spark, str(tmp_path), "part")
+    assert many.rdd.getNumPartitions() == 32 and many.distinct().count() == 400_000
