@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sheaf.functions import text, url, vin
-from sheaf.operators import crawl, evidence
+from sheaf.operators import crawl, evidence, vehicles
 from sheaf.operators import html as H
 from sheaf.operators import pagers as P
+from sheaf.plans.spec import Rule, VehicleSpec
 from sheaf.queries import QUERIES
 from sheaf.queries.registry import table
 
@@ -89,3 +90,10 @@ def test_spread_tasks_do_not_grow_with_few_rows_each(spark, tmp_path):
     spark.range(400_000).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     many = table(spark, str(tmp_path), "part")
     assert many.rdd.getNumPartitions() == 32 and many.distinct().count() == 400_000
+
+
+def test_a_detail_page_is_read_once(spark):
+    pages = spark.createDataFrame([("https://x.example/vdp/1", "<main><p>car</p></main><script type='application/ld+json'>[{\"@type\":\"Car\",\"name\":\"a\"},{\"@type\":\"Car\",\"name\":\"b\",\"url\":\"https://www.x.example/vdp/1/\"}]</script>")] * 2, "url string, html string")
+    found = vehicles.detail_records(pages, VehicleSpec(origin="https://x.example", start_urls=("https://x.example/used",), card="li", link="a", fields={"make": Rule(".m")}, detail_root="main", gallery=".g", detail_fields={"color_ext": Rule(".c")}), pages.select("url", F.lit(None).cast("string").alias("expected_vin")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["name"], r["identity_proven"]) for r in found.collect()] == [("b", False)]
