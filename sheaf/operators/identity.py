@@ -106,11 +106,17 @@ def page_identity(evidence: DataFrame, url: str = "url") -> DataFrame:
     that advertises another vehicle's URL proves nothing.
     """
     only = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
-    told = F.filter(F.transform("advertised", lambda a: V.vin_from_url(F.concat(F.lit("https://"), a))), lambda v: v.isNotNull())
-    own, real = V.vin_from_url(F.col(url)), F.when(~V.is_surrogate(F.col("expected_vin")), F.col("expected_vin"))
-    ways = [("scope", only(F.col("scope_vins"))), ("advertised", only(F.array_distinct(told))), ("document", only(F.col("document_vins"))), ("structured", F.col("structured_vin"))]
-    same_page = (F.size("advertised") == 0) | F.exists("advertised", lambda a: U.same_advertised(U.normalize_detail_url(F.col(url)), a))
-    primary = F.coalesce(*(v for _, v in ways))
-    by = F.coalesce(*(F.when(v.isNotNull(), F.lit(n)) for n, v in ways))
-    fits = (own.isNull() | (own == primary)) & (real.isNull() | (real == primary))
-    return evidence.withColumn("primary_vin", primary).withColumn("proven_by", by).withColumn("identity_proven", F.coalesce(primary.isNotNull() & fits & (same_page | (real == primary)), F.lit(False)))
+    told = F.array_distinct(F.filter(F.transform("advertised", lambda a: V.vin_from_url(F.concat(F.lit("https://"), a))), lambda v: v.isNotNull()))
+    ways = [("scope", only(F.col("scope_vins"))), ("advertised", U._let(told, only)), ("document", only(F.col("document_vins"))), ("structured", F.col("structured_vin"))]
+    same_page = (F.size("advertised") == 0) | U._let(U.normalize_detail_url(F.col(url)), lambda own: F.exists("advertised", lambda a: U.same_advertised(own, a)))
+    real = F.when(~V.is_surrogate(F.col("expected_vin")), F.col("expected_vin"))
+    # the first way that tells a VIN: later ones are not looked at
+    first = F.coalesce(*(U._let(v, lambda x: F.when(x.isNotNull(), F.struct(x.alias("vin"), F.lit(n).alias("by")))) for n, v in ways))  # noqa: B023
+
+    def judged(w: Column) -> Column:
+        primary, own = w["first"]["vin"], w["own"]
+        fits = (own.isNull() | (own == primary)) & (w["real"].isNull() | (w["real"] == primary))
+        return F.struct(primary.alias("primary_vin"), w["first"]["by"].alias("proven_by"), F.coalesce(primary.isNotNull() & fits & ((w["real"] == primary) | same_page), F.lit(False)).alias("identity_proven"))
+
+    read = F.struct(first.alias("first"), V.vin_from_url(F.col(url)).alias("own"), real.alias("real"))
+    return evidence.withColumn("__i", U._let(read, judged)).select(*evidence.columns, "__i.*")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sheaf.functions import text, url, vin
-from sheaf.operators import crawl, evidence, vehicles
+from sheaf.operators import crawl, evidence, identity, vehicles
 from sheaf.operators import html as H
 from sheaf.operators import pagers as P
 from sheaf.plans.spec import Rule, VehicleSpec
@@ -97,3 +97,11 @@ def test_a_detail_page_is_read_once(spark):
     found = vehicles.detail_records(pages, VehicleSpec(origin="https://x.example", start_urls=("https://x.example/used",), card="li", link="a", fields={"make": Rule(".m")}, detail_root="main", gallery=".g", detail_fields={"color_ext": Rule(".c")}), pages.select("url", F.lit(None).cast("string").alias("expected_vin")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [(r["name"], r["identity_proven"]) for r in found.collect()] == [("b", False)]
+
+
+def test_an_identity_reads_its_urls_once(spark):
+    rows = [("https://x.example/v?vin=1FTFW1ET0EKF00012", ["1FTFW1ET0EKF00012"], [], [], None, None), ("https://x.example/v/1", [], [], ["a.example/b"], "1FTFW1ET0EKF00012", "1FTFW1ET0EKF00012"), ("https://x.example/v/1", [], [], ["a.example/b"], "1FTFW1ET0EKF00012", None)]
+    evidence = spark.createDataFrame(rows, "url string, scope_vins array<string>, document_vins array<string>, advertised array<string>, structured_vin string, expected_vin string")
+    found = identity.page_identity(evidence)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("(?:^|[^a-z])vin(?:[^a-z]|$)") == 2
+    assert [(r["proven_by"], r["identity_proven"]) for r in found.collect()] == [("scope", True), ("structured", True), ("structured", False)]
